@@ -1,6 +1,25 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE = {
+    "op1_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(w[i:i + 19], ' ')) ORDER BY doc_id, i) AS n FROM p
+), g AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM r WHERE n > 1)
+), l AS (
+  SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id
+), k AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0
+), t AS (
+  SELECT k.doc_id, string_agg(k.word, ' ' ORDER BY k.i) AS kept FROM k ANTI JOIN g ON k.doc_id = g.doc_id AND k.i = g.i GROUP BY k.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
     "op4_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
