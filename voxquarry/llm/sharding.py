@@ -9,7 +9,7 @@ are rows like any other and are spread like the rest of their source.
 
 Scale: ranks come from counts of buckets of the shuffle key and row numbers within one bucket, so neither a
 source with a third of all rows nor the whole table is ever sorted in one task.  The number of buckets follows
-the number of rows.  Only ids, sizes and checksums are shuffled, not texts.
+the number of rows up to 65536, which bounds the counts that meet in one window.  Only ids, sizes and checksums are shuffled, not texts.
 
 Defined cases: a null text has size 8 and checksum 0; a null source is a stratum; null and repeated doc_ids are
 ordered by size and checksum next; rows equal in all of these may swap places, which the result does not show;
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .util import ranked, text_of
 
 
-def shard(docs: DataFrame, shards: int, *, seed: int = 42, stratum: str = "source", id_col: str = "doc_id", text_col: str = "text", rows_a_bucket: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int, *, seed: int = 42, stratum: str = "source", id_col: str = "doc_id", text_col: str = "text", rows_a_bucket: int = 1000) -> DataFrame:
     """doc_id, size, text_crc32, stratum, shard and slot (gapless from 0 within the shard)."""
     total = docs.count()
-    buckets = max(1, min(1 << 24, -(-total // rows_a_bucket)))
+    buckets = max(1, min(1 << 16, -(-total // rows_a_bucket)))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text_of(text_col)) + 8).cast("long").alias("size"),
