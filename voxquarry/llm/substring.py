@@ -154,13 +154,19 @@ def settled_here(h, c, key, at, level: int) -> pa.RecordBatch:
     new = new_h.copy()
     new[1:] |= c[1:] != c[:-1]
     if level == 2:
-        return rows(h, c, key, at & ~3 | np.where(new, PROBE, SPAN))
+        return rows(*dealt(h, c, key, at & ~3 | np.where(new, PROBE, SPAN)))
     group = np.cumsum(new_h) - 1
     several = (np.bincount(group, new) > 1)[group]
     kind = np.where(~new, SPAN, np.where(several, CUT, PROBE))
     more = new_h & several
     # of each h with differing runs one more row tells other tasks
-    return rows(np.concatenate([h, h[more]]), np.concatenate([c, c[more]]), np.concatenate([key, key[more]]), np.concatenate([at & ~3 | kind, at[more] & ~3 | VARIED]))
+    return rows(*dealt(*map(np.concatenate, ((h, h[more]), (c, c[more]), (key, key[more]), (at & ~3 | kind, at[more] & ~3 | VARIED)))))
+
+
+def dealt(h, c, key, at) -> tuple[np.ndarray, ...]:
+    """Rows of which the kind is settled need not meet others of their h: they are dealt evenly."""
+    kind = at & 3
+    return np.where((kind == CUT) | (kind == SPAN), mixed(key.view(U) ^ mixed(at.view(U))), h), c, key, at
 
 
 def judged(level: int):
