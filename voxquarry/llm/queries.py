@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, secrets, sharding, substring, topk
+from . import exact, packing, secrets, sharding, substring, topk, toxicity
 from .util import table
 
 
@@ -34,6 +34,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), model("byte_bpe_50k.json"), model("byte_bpe_50k.tiktoken"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -43,4 +47,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_sharding, op7_secrets, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_sharding, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
