@@ -41,8 +41,8 @@ def cells(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mixed + np.uint64(i) * b * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits) for i in range(HASHES)])
 
 
-def repeated_cells(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The filter's bits (packed, 2**bits of them) of cells that were hit twice or more; hashes has one column of longs."""
+def hit_cells(hashes: DataFrame, bits: int, least: int) -> np.ndarray:
+    """The filter's bits (packed, 2**bits of them) of cells that were hit `least` times (1 or 2) or more; hashes has one column of longs."""
     low = min(SEGMENT_BITS, bits)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def repeated_cells(hashes: DataFrame, bits: int) -> np.ndarray:
         found, times = np.unique(own[fresh], return_counts=True)
         seg = (found >> np.uint64(low)).astype("i8")
         cut = np.flatnonzero(np.diff(seg)) + 1
-        groups = [(int(s[0]), f.astype("u4").tobytes(), np.packbits(t > 1).tobytes()) for s, f, t in zip(np.split(seg, cut), np.split(found & np.uint64((1 << low) - 1), cut), np.split(times, cut))]
+        groups = [(int(s[0]), f.astype("u4").tobytes(), np.packbits(t >= least).tobytes()) for s, f, t in zip(np.split(seg, cut), np.split(found & np.uint64((1 << low) - 1), cut), np.split(times, cut))]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*groups), (pa.int64(), pa.binary(), pa.binary()))], ["segment", "cells", "twice"])
 
     def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -74,7 +74,7 @@ def repeated_cells(hashes: DataFrame, bits: int) -> np.ndarray:
         for c, t in zip(group["cells"], group["twice"]):
             c = np.frombuffer(c, "u4")
             again = np.unpackbits(np.frombuffer(t, "u1"), count=len(c)).astype(bool)
-            twice[c] |= once[c] | again
+            twice[c] |= again | (once[c] if least > 1 else False)
             once[c] = True
         return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(twice).tobytes()]})
 
@@ -88,10 +88,17 @@ def repeated_cells(hashes: DataFrame, bits: int) -> np.ndarray:
 
 def maybe_repeated(docs: DataFrame, key: Column, max_bits: int) -> Column:
     """A boolean column: false where key (a string) is surely alone in docs."""
-    spark = docs.sparkSession
-    n = docs.count()
-    bits = int(np.clip(int(16 * n).bit_length(), 16, max_bits))
-    filled = spark.sparkContext.broadcast(repeated_cells(docs.select(F.xxhash64(key).alias("h")), bits))
+    return _looked_up(docs.select(F.xxhash64(key).alias("h")), F.xxhash64(key), max_bits, 2)
+
+
+def holds(hashes: DataFrame, h: Column, max_bits: int = 29) -> Column:
+    """A boolean column: false where the hash h is surely not in hashes (one column of longs)."""
+    return _looked_up(hashes, h, max_bits, 1)
+
+
+def _looked_up(hashes: DataFrame, h: Column, max_bits: int, least: int) -> Column:
+    bits = int(np.clip(int(16 * hashes.count()).bit_length(), 16, max_bits))
+    filled = hashes.sparkSession.sparkContext.broadcast(hit_cells(hashes, bits, least))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
@@ -99,7 +106,7 @@ def maybe_repeated(docs: DataFrame, key: Column, max_bits: int) -> Column:
         b = filled.value
         return pd.Series(np.all((b[c >> np.uint64(3)] >> (7 - (c & np.uint64(7))).astype("u1")) & 1, axis=0))
 
-    return maybe(F.xxhash64(key))
+    return maybe(h)
 
 
 def _settled(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> tuple[Column, DataFrame]:

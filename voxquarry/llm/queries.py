@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, secrets, sharding, substring, topk, toxicity
+from . import bagminhash, exact, packing, secrets, sharding, substring, topk, toxicity
 from .util import table
 
 
@@ -21,6 +21,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_exact_dedup, op5_sharding, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_sharding, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
