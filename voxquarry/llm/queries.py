@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact, packing, secrets, sharding, substring, topk, toxicity
+from . import bagminhash, exact, packing, secrets, sentencepieces, sharding, substring, topk, toxicity
 from .util import table
 
 
@@ -34,6 +34,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("stratum").alias("source"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepieces.encode(table(spark, sf_dir, "documents"), model("piece_bpe_32k.model"), with_ids=False)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -51,4 +56,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_sharding, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_sharding, op6_sentencepiece, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
