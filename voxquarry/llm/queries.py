@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, exact, packing, secrets, sentencepieces, sharding, substring, topk, toxicity
+from . import bagminhash, exact, packing, pii, secrets, sentencepieces, sharding, substring, topk, toxicity
 from .util import table
 
 
+#: The key of the registered query; a real run passes its own secret.
+PII_KEY = "voxquarry demonstration key"
+
+
 def model(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -21,6 +25,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
@@ -56,4 +64,4 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_minhash_dedup, op4_exact_dedup, op5_sharding, op6_sentencepiece, op7_secrets, op8_toxicity, op9_packing, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_pii, op3_minhash_dedup, op4_exact_dedup, op5_sharding, op6_sentencepiece, op7_secrets, op8_toxicity, op9_packing, op10_topk)}

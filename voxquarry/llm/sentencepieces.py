@@ -359,7 +359,7 @@ class Codec(dict):
         else:
             text = "".join(map(self.plain_of.__getitem__, numbers))
         text = text.replace(SPACE, " ")
-        return text[1:] if self.rules.add_dummy_prefix and first != self.unknown and text.startswith(" ") else text
+        return text[1:] if self.rules.add_dummy_prefix and first is not None and self.pieces[first].startswith(SPACE) else text
 
     def _joined(self, ids: list[int]) -> Iterator[str]:
         held = bytearray()
