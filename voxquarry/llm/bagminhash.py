@@ -18,6 +18,10 @@ smallest; buckets whose texts are then connected are settled.  In further rounds
 bucket are compared with those of its other classes and leave the bucket, until all of its texts are in one
 class.  So each pair that shares a band is either compared or connected already: no link between classes is lost.
 
+Texts of buckets that the first round leaves unsettled are weighed before more rounds: of their shingles, rare ones (in at most `RARE` such
+texts) make pairs that are compared at once; the overlap of any other pair is bounded by the weight of the remaining
+shingles.  Pairs that the bound rules out are not compared, and texts that it keeps from every partner leave their bucket.
+
 Scale: band keys and ids are shuffled, never signatures; a hot bucket or a hot class is joined from
 written tables, whose large partitions Spark splits.  Texts are shuffled only for texts in shared buckets, which a
 Bloom filter of bounded size finds.  Components propagate the smallest label with pointer jumping; labels live in written tables.
@@ -46,21 +50,22 @@ U = np.uint64
 GOLD = 0x9E3779B97F4A7C15
 #: Centres that an unsettled bucket gets in a later round.
 SLOTS = 64
+#: A shingle of at most so many unsettled texts makes candidates of its own.
+RARE = 8
 
 
 def bags(words: np.ndarray, edges: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, shingle hash and count of the bags of documents whose words begin at edges."""
+    """Document, shingle hash (44 bits) and count of the bags of up to 2**20 documents whose words begin at edges."""
     n = np.diff(edges)
     times = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
     doc = np.repeat(np.arange(len(n)), times)
     start = edges[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
     h = spans_hash(words, start, np.minimum(start + shingle, edges[1:][doc]), BASES[1])
-    o = np.lexsort((h, doc))
-    doc, h = doc[o], h[o]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    key = np.sort(doc.astype(U) << U(44) | h >> U(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h)))
+    return (key[at] >> U(44)).astype("i8"), key[at] & U((1 << 44) - 1), np.diff(np.append(at, len(key)))
 
 
 def _points(doc: np.ndarray, h: np.ndarray, c: np.ndarray, reach: np.ndarray, sig: np.ndarray) -> None:
@@ -112,15 +117,16 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _signed(bands: int, rows: int, shingle: int):
-    names = ["doc_id", "h1", "h2", *[f"b{i}" for i in range(bands)]]
+    names = ["doc_id", "h1", "h2", "w", *[f"b{i}" for i in range(bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, 3):
             words, edges = words_of(b.column(3))
-            sig = signatures(*bags(words, edges, shingle), len(b), bands * rows)
+            bag = bags(words, edges, shingle)
+            sig = signatures(*bag, len(b), bands * rows)
             keys = band_keys(sig, bands).view("i8")
             none = ~np.isfinite(sig[:, 0])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(keys[:, i], mask=none) for i in range(bands)]], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.bincount(bag[0], bag[2], len(b)).astype("i8")), *[pa.array(keys[:, i], mask=none) for i in range(bands)]], names)
 
     return run, ", ".join(f"{n} long" for n in names)
 
@@ -130,10 +136,11 @@ def overlaps(a: pa.BinaryArray, b: pa.BinaryArray, shingle: int) -> tuple[np.nda
     (da, ha, ca), (db, hb, cb) = (bags(*words_of(t), shingle) for t in (a, b))
     n = len(a)
     both = np.bincount(da, ca, n) + np.bincount(db, cb, n)
-    d, h, c = np.concatenate([da, db]), np.concatenate([ha, hb]), np.concatenate([ca, cb])
-    o = np.lexsort((h, d))
-    d, h, c = d[o], h[o], c[o]
-    same = np.flatnonzero((d[1:] == d[:-1]) & (h[1:] == h[:-1]))
+    key, c = np.concatenate([da.astype(U) << U(44) | ha, db.astype(U) << U(44) | hb]), np.concatenate([ca, cb])
+    o = np.argsort(key, kind="stable")
+    key, c = key[o], c[o]
+    same = np.flatnonzero(key[1:] == key[:-1])
+    d = (key >> U(44)).astype("i8")
     common = np.bincount(d[same], np.minimum(c[same], c[same + 1]), n)
     return common, both - common
 
@@ -165,12 +172,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _joined(members: DataFrame, centres: DataFrame) -> DataFrame:
-    return members.join(centres, members["key"] == centres["c_key"])
+def _shingled(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, 1):
+            d, h, c = bags(*words_of(b.column(1)), shingle)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(h.view("i8")), pa.array(c)], ["tid", "h", "c"])
+
+    return run
+
+
+def _open(rest: DataFrame) -> DataFrame:
+    """The rows of rest (key, tid, comp, ...) whose bucket has texts of more than one class; rest must be a written table."""
+    keys = written(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("o_key")))
+    return written(rest.join(keys, rest["key"] == keys["o_key"]).drop("o_key"))
+
+
+def _shares(members: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Of the texts of members: pairs (tid, c_id) that have a rare shingle in common, and (b_tid, w, s): weights of the whole bag and of its other shingles.
+
+    A shingle is rare if at most RARE of these texts have it.  The overlap of a pair without a common rare shingle is
+    at most the smaller s of the two.
+    """
+    ids = members.select(F.col("tid").alias("m_tid")).distinct()
+    own = written(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "text", "w"))
+    found = own.select("tid", "text").mapInArrow(_shingled(shingle), "tid long, h long, c long")
+    rare = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE).select(F.col("h").alias("r_h")))
+    held = written(found.join(rare, found["h"] == rare["r_h"]).select("h", "tid", "c"))
+    group = held.groupBy("h").agg(F.array_sort(F.collect_list("tid")).alias("t"))  # at most RARE
+    pairs = group.select(F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("tid"), y.alias("c_id")))))).alias("p"))
+    less = held.groupBy(F.col("tid").alias("u_tid")).agg(F.sum("c").alias("u"))
+    shares = own.select("tid", "w").join(less, own["tid"] == less["u_tid"], "left").select(F.col("tid").alias("b_tid"), "w", (F.col("w") - F.coalesce("u", F.lit(0))).alias("s"))
+    return written(pairs.select("p.*").distinct()), written(shares)
+
+
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (tid, comp, ...) with the classes of labels."""
+    rows = rows.drop("comp")
+    return rows.join(labels, rows["tid"] == labels["id"], "left").withColumn("comp", F.coalesce("comp", "tid")).drop("id")
 
 
 def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(id, comp) of the texts that have links; multi: (key, tid) of shared buckets, texts: (tid, text)."""
+    """(id, comp) of the texts that have links; multi: (key, tid) of shared buckets, texts: (tid, text, w)."""
     side = lambda n: texts.select(F.col("tid").alias(f"{n}_id"), F.col("text").alias(f"{n}_text"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -178,32 +220,42 @@ def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int) -
         full = pairs.join(side("b"), F.col("b") == F.col("b_id")).join(side("a"), F.col("a") == F.col("a_id"))
         return written(full.select("a", "b", "a_text", "b_text").mapInArrow(_verified(threshold, shingle), "a long, b long"))
 
+    def left(members: DataFrame, centres: DataFrame) -> DataFrame:
+        """What was compared with all others of its bucket leaves it."""
+        used = centres.select(F.col("c_key").alias("u_key"), F.col("c_id").alias("u_id"))
+        return members.join(used, (F.col("key") == F.col("u_key")) & (F.col("tid") == F.col("u_id")), "left_anti")
+
+    # first round: the bucket's smallest text against all others
     members = multi.select("key", "tid", F.col("tid").alias("comp"))
     centres = written(members.groupBy("key").agg(F.min("tid").alias("c_id")).select(F.col("key").alias("c_key"), "c_id"))
-    links: list[DataFrame] = []
-    turn = 0
-    while True:
-        met = _joined(members, centres)
-        links.append(linked(met.filter((F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp")) if turn else F.col("tid") != F.col("c_id"))))
-        labels = components(reduce(DataFrame.unionByName, links))
-        # what was compared with all others of its bucket leaves it
-        used = centres.select(F.col("c_key").alias("u_key"), F.col("c_id").alias("u_id"))
-        rest = members.join(used, (F.col("key") == F.col("u_key")) & (F.col("tid") == F.col("u_id")), "left_anti").select("key", "tid")
-        rest = written(rest.join(labels, rest["tid"] == labels["id"], "left").select("key", "tid", F.coalesce("comp", "tid").alias("comp")))
-        # a bucket whose texts are in one class is settled
-        open_ = written(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("o_key")))
-        if open_.isEmpty():
-            return labels
-        members = written(rest.join(open_, rest["key"] == open_["o_key"]).select("key", "tid", "comp"))
-        turn += 1
-        slot = F.pmod(F.xxhash64("tid"), F.lit(SLOTS))
-        if turn == 1:
-            best = members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("tid", "comp")).alias("c"))
-        else:  # the texts of small classes first: when those have left, the bucket is settled
-            sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
-            sized = members.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
-            best = sized.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("n", "tid", "comp")).alias("c"))
-        centres = written(best.select(F.col("key").alias("c_key"), F.col("c.tid").alias("c_id"), F.col("c.comp").alias("c_comp")))
+    links = [linked(members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id"))))]
+    labels = components(links[0])
+    members = _open(written(_relabelled(left(members, centres), labels)))
+    if members.isEmpty():
+        return labels
+    # pairs with a common rare shingle, then the bound for all others
+    pairs, shares = _shares(members, texts, shingle)
+    ends = _relabelled(_relabelled(pairs, labels).withColumnsRenamed({"comp": "t_comp", "tid": "t_id"}).withColumn("tid", F.col("c_id")).withColumn("comp", F.lit(None)), labels)
+    links.append(linked(ends.filter("comp <> t_comp").select(F.col("t_id").alias("tid"), "c_id")))
+    labels = components(reduce(DataFrame.unionByName, links))
+    members = written(_relabelled(members, labels).join(shares, F.col("tid") == F.col("b_tid")).select("key", "tid", "comp", "w", "s"))
+    least = written(members.groupBy(F.col("key").alias("l_key")).agg(F.min("w").alias("low")))
+    other = F.when(F.col("low") >= F.col("s"), F.col("low")).otherwise(F.col("s"))
+    can = F.col("s") >= threshold * (F.col("w") + other - F.col("s")) - 1e-9
+    members = _open(written(members.join(least, F.col("key") == F.col("l_key")).filter(can).select("key", "tid", "comp", "w", "s")))
+    while not members.isEmpty():
+        # the texts of small classes first: when those have left, the bucket is settled
+        sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
+        sized = members.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
+        best = sized.groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("n", "tid", "comp", "w", "s")).alias("c"))
+        centres = written(best.select(F.col("key").alias("c_key"), *[F.col(f"c.{x}").alias(f"c_{y}") for x, y in (("tid", "id"), ("comp", "comp"), ("w", "w"), ("s", "s"))]))
+        common = F.least("s", "c_s")
+        can = common >= threshold * (F.col("w") + F.col("c_w") - common) - 1e-9
+        links.append(linked(members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp")) & can)))
+        if not links[-1].isEmpty():
+            labels = components(reduce(DataFrame.unionByName, links))
+        members = _open(written(_relabelled(left(members, centres), labels)))
+    return labels
 
 
 def _hashes(text_col: str) -> list:
@@ -217,16 +269,16 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, shin
     signed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_hashes(text_col), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
     signed = written(signed)
     names = [f"b{i}" for i in range(bands)]
-    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n"), *[F.min(b).alias(b) for b in names])
+    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n"), F.min("w").alias("w"), *[F.min(b).alias(b) for b in names])
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()))
     spread = texts.filter(F.col("b0").isNotNull()).select(F.explode(F.array(*names)).alias("key"), "tid")
     shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("s_key")))
     multi = written(spread.join(shared, spread["key"] == shared["s_key"]).select("key", "tid"))
     ids = multi.select(F.col("tid").alias("m_tid")).distinct()
-    wanted = written(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", F.col("h1").alias("w1"), F.col("h2").alias("w2")))
+    wanted = written(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "w", F.col("h1").alias("w1"), F.col("h2").alias("w2")))
     some = docs.select(*_hashes(text_col), text_of(text_col).cast("binary").alias("text")).filter(holds(wanted.select("w1"), F.xxhash64(text_of(text_col))))
     some = some.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    found = written(wanted.join(some, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("tid", "text"))
+    found = written(wanted.join(some, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("tid", "text", "w"))
     labels = _links(multi, found, threshold, shingle)
     own = texts.select("tid", "h1", "h2", "low_id", "n").join(labels, texts["tid"] == labels["id"], "left").withColumn("class", F.coalesce("comp", "tid"))
     own = written(own.select("tid", "h1", "h2", "low_id", "n", "class"))
