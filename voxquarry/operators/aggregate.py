@@ -13,6 +13,11 @@ def _cells(factor: Triple) -> list[Column]:
     return [floor_div(a, f).alias(a) for a, f in zip(AXES, factor)]
 
 
+def nonzero(x: Column) -> Column:
+    """Null in place of 0, so that a division gives null."""
+    return F.nullif(x, F.lit(0))
+
+
 def downsample(df: DataFrame, factor: Triple, method: str = "average") -> DataFrame:
     """Cells of factor voxels: their average, max, first voxel (`stride`) or most frequent value (`mode`, ties to the smaller).
 
@@ -85,7 +90,7 @@ def label_sizes(df: DataFrame) -> DataFrame:
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.count_distinct("value").alias("n_values"), F.sum((F.col("value") != 0).cast("long")).alias("n_nonzero"))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), F.count_distinct("value").alias("n_values"), F.sum((F.col("value") != 0).cast("long")).alias("nnonzero"))
 
 
 def ranked_labels(df: DataFrame, start: int, stop: int) -> DataFrame:
@@ -114,13 +119,13 @@ def normalize_contrast(df: DataFrame, *, lower: float = 0.01, upper: float = 0.0
     dense = (counts.select(*groups).distinct() if groups else df.sparkSession.range(1)).select(*groups, bins)
     dense = dense.join(counts, [*groups, "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = W.partitionBy(*by)
-    share = F.sum("n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(w)
+    share = F.sum("n").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0)) / nonzero(F.sum("n").over(w))
     curve = dense.withColumn("share", F.coalesce(share, F.lit(0.0)))
     at = lambda p: F.coalesce(F.max(F.when(F.col("share") <= p, F.col("value"))), F.lit(0))
     total = F.sum("n") == 0
     points = curve.groupBy(*groups).agg(F.when(total, 0).otherwise(at(lower)).alias("__low"), F.when(total, 0).otherwise(at(1 - upper)).alias("__high"))
     out = df.join(points, groups) if groups else df.crossJoin(F.broadcast(points))  # one row is broadcast
-    new = F.bround(F.least(F.greatest((F.col("value") - F.col("__low")) * F.lit(float(maxval)) / (F.col("__high") - F.col("__low")), F.lit(float(minval))), F.lit(float(maxval)))).cast("long")
+    new = F.bround(F.least(F.greatest((F.col("value") - F.col("__low")) * F.lit(float(maxval)) / nonzero(F.col("__high") - F.col("__low")), F.lit(float(minval))), F.lit(float(maxval)))).cast("long")
     return out.withColumn("value", F.when(F.col("__low") == F.col("__high"), F.col("value")).otherwise(new)).select(*df.columns)
 
 
@@ -129,7 +134,7 @@ def normalize_section_shang(df: DataFrame, *, low: float = 0.0, high: float = 25
     ends = df.groupBy("z").agg(F.min("value").alias("__a"), F.max("value").alias("__b"))
     inner = (F.col("value") != F.col("__a")) & (F.col("value") != F.col("__b"))
     span = df.join(ends, "z").filter(inner).groupBy("z").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"))
-    new = (F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (high - low) + low
+    new = (F.col("value") - F.col("__lo")) / nonzero(F.col("__hi") - F.col("__lo")) * (high - low) + low
     if clip:
         new = F.least(F.greatest(new, F.lit(float(low))), F.lit(float(high)))
     same = F.col("__lo").isNull() | (F.col("__lo") == F.col("__hi"))
@@ -142,5 +147,5 @@ def clip_percentile(df: DataFrame, low: float = 0.01, high: float = 0.01) -> Dat
     share = F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.partitionBy())  # at most 256 rows
     curve = counts.withColumn("share", share)
     ends = curve.agg(F.min(F.when(F.col("share") >= low, F.col("value"))).alias("__lo"), F.min(F.when(F.col("share") >= 1 - high, F.col("value"))).alias("__hi"))
-    v = F.floor(F.least(F.greatest((F.col("value") - F.col("__lo")) * 255.0 / (F.col("__hi") - F.col("__lo")), F.lit(0.0)), F.lit(255.0)))
+    v = F.floor(F.least(F.greatest((F.col("value") - F.col("__lo")) * 255.0 / nonzero(F.col("__hi") - F.col("__lo")), F.lit(0.0)), F.lit(255.0)))
     return df.crossJoin(F.broadcast(ends)).withColumn("value", F.when(F.col("__lo") == F.col("__hi"), F.col("value")).otherwise(v)).select(*df.columns)  # one row is broadcast

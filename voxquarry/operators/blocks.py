@@ -32,7 +32,7 @@ def dense(part: pd.DataFrame, fill: float = np.nan) -> tuple[np.ndarray, np.ndar
     """The array of a block's voxels and the coordinates of its first corner."""
     at = part[list(AXES)].to_numpy()
     low = at.min(axis=0)
-    out = np.full(at.max(axis=0) - low + 1, fill)
+    out = np.full(at.max(axis=0) - low + 1, float(fill))
     out[tuple((at - low).T)] = part["value"].to_numpy(float)
     return out, low
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregate import nonzero
+
 
 def contingency(df: DataFrame, *, seg: str = "seg", gt: str = "gt", ignore_seg: list[int] = (), ignore_gt: list[int] = ()) -> DataFrame:
     """Counts of label pairs; pairs with an ignored label take no part."""
@@ -32,8 +34,8 @@ def pair_counts(table: DataFrame) -> DataFrame:
 def rand_scores(table: DataFrame) -> DataFrame:
     """rand_index, adjusted_rand_index and fowlkes_mallows."""
     a, b, c, d = (F.col(x) for x in "abcd")
-    ari = 2 * (a * d - b * c) / ((a + b) * (b + d) + (a + c) * (c + d))
-    return pair_counts(table).select(((a + d) / (a + b + c + d)).alias("rand_index"), F.when((b == 0) & (c == 0), 1.0).otherwise(ari).alias("adjusted_rand_index"), (a / F.sqrt((a + b) * (a + c))).alias("fowlkes_mallows"))
+    ari = 2 * (a * d - b * c) / nonzero((a + b) * (b + d) + (a + c) * (c + d))
+    return pair_counts(table).select(((a + d) / nonzero(a + b + c + d)).alias("rand_index"), F.when((b == 0) & (c == 0), 1.0).otherwise(ari).alias("adjusted_rand_index"), (a / nonzero(F.sqrt((a + b) * (a + c)))).alias("fowlkes_mallows"))
 
 
 def xlogx(p: Column) -> Column:
@@ -64,9 +66,9 @@ def sorted_vi_components(table: DataFrame, by: str) -> DataFrame:
 def adapted_rand_error(table: DataFrame) -> DataFrame:
     """1 - F score of pairs, with precision and recall; labels of gt that count as background should be left out before."""
     n, s, r, k = (F.col(x) for x in ("n", "s", "r", "k"))
-    out = squares(table).select(((s - n) / (r - n)).alias("precision"), ((s - n) / (k - n)).alias("recall"))
+    out = squares(table).select(((s - n) / nonzero(r - n)).alias("precision"), ((s - n) / nonzero(k - n)).alias("recall"))
     p, q = F.col("precision"), F.col("recall")
-    return out.select((1 - 2 * p * q / (p + q)).alias("error"), "precision", "recall")
+    return out.select((1 - 2 * p * q / nonzero(p + q)).alias("error"), "precision", "recall")
 
 
 def edit_distance(table: DataFrame, threshold: int = 1000) -> DataFrame:
@@ -80,7 +82,7 @@ def boundary_precision_recall(df: DataFrame, predicted: Column, true: Column) ->
     """tp / (tp + fp) and tp / (tp + fn) of boolean columns."""
     count = lambda x: F.sum(x.cast("double"))
     tp, fp, fn = count(predicted & true), count(predicted & ~true), count(~predicted & true)
-    return df.agg((tp / (tp + fp)).alias("precision"), (tp / (tp + fn)).alias("recall"))
+    return df.agg((tp / nonzero(tp + fp)).alias("precision"), (tp / nonzero(tp + fn)).alias("recall"))
 
 
 def assignment_table(table: DataFrame) -> DataFrame:
