@@ -233,16 +233,29 @@ def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int) -
     members = _open(written(_relabelled(left(members, centres), labels)))
     if members.isEmpty():
         return labels
-    # pairs with a common rare shingle, then the bound for all others
+    # pairs with a common rare shingle, and each bucket's text with the largest s against all others
     pairs, shares = _shares(members, texts, shingle)
-    ends = _relabelled(_relabelled(pairs, labels).withColumnsRenamed({"comp": "t_comp", "tid": "t_id"}).withColumn("tid", F.col("c_id")).withColumn("comp", F.lit(None)), labels)
-    links.append(linked(ends.filter("comp <> t_comp").select(F.col("t_id").alias("tid"), "c_id")))
-    labels = components(reduce(DataFrame.unionByName, links))
-    members = written(_relabelled(members, labels).join(shares, F.col("tid") == F.col("b_tid")).select("key", "tid", "comp", "w", "s"))
+    members = written(members.join(shares, F.col("tid") == F.col("b_tid")).select("key", "tid", "comp", "w", "s"))
     least = written(members.groupBy(F.col("key").alias("l_key")).agg(F.min("w").alias("low")))
     other = F.when(F.col("low") >= F.col("s"), F.col("low")).otherwise(F.col("s"))
     can = F.col("s") >= threshold * (F.col("w") + other - F.col("s")) - 1e-9
-    members = _open(written(members.join(least, F.col("key") == F.col("l_key")).filter(can).select("key", "tid", "comp", "w", "s")))
+    members = written(members.join(least, F.col("key") == F.col("l_key")).filter(can).select("key", "tid", "comp", "w", "s"))
+    best = members.groupBy("key").agg(F.min(F.struct(-F.col("s"), "tid", "comp")).alias("c"))
+    centres = written(best.select(F.col("key").alias("c_key"), F.col("c.tid").alias("c_id"), F.col("c.comp").alias("c_comp")))
+    met = members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp"))).select("tid", "c_id")
+    ends = _relabelled(_relabelled(pairs, labels).withColumnsRenamed({"comp": "t_comp", "tid": "t_id"}).withColumn("tid", F.col("c_id")).withColumn("comp", F.lit(None)), labels)
+    links.append(linked(met.unionByName(ends.filter("comp <> t_comp").select(F.col("t_id").alias("tid"), "c_id"))))
+    labels = components(reduce(DataFrame.unionByName, links))
+    members = _open(written(_relabelled(left(members, centres), labels)))
+    if members.isEmpty():
+        return labels
+    # each class's text with the largest s against those of SLOTS other classes: this joins most large classes at little cost
+    heads = written(members.groupBy("key", "comp").agg(F.min(F.struct(-F.col("s"), "tid")).alias("c")).select("key", "comp", F.col("c.tid").alias("tid")))
+    some = heads.groupBy("key", F.pmod(F.xxhash64("comp"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("tid", "comp")).alias("c"))
+    some = written(some.select(F.col("key").alias("c_key"), F.col("c.tid").alias("c_id"), F.col("c.comp").alias("c_comp")))
+    links.append(linked(heads.join(some, (F.col("key") == F.col("c_key")) & (F.col("comp") != F.col("c_comp"))).select("tid", "c_id")))
+    labels = components(reduce(DataFrame.unionByName, links))
+    members = _open(written(_relabelled(members, labels)))
     while not members.isEmpty():
         # the texts of small classes first: when those have left, the bucket is settled
         sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
