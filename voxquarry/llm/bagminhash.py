@@ -247,20 +247,16 @@ def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int) -
     links.append(linked(met.unionByName(ends.filter("comp <> t_comp").select(F.col("t_id").alias("tid"), "c_id"))))
     labels = components(reduce(DataFrame.unionByName, links))
     members = _open(written(_relabelled(left(members, centres), labels)))
-    if members.isEmpty():
-        return labels
-    # each class's text with the largest s against those of SLOTS other classes: this joins most large classes at little cost
-    heads = written(members.groupBy("key", "comp").agg(F.min(F.struct(-F.col("s"), "tid")).alias("c")).select("key", "comp", F.col("c.tid").alias("tid")))
-    some = heads.groupBy("key", F.pmod(F.xxhash64("comp"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("tid", "comp")).alias("c"))
-    some = written(some.select(F.col("key").alias("c_key"), F.col("c.tid").alias("c_id"), F.col("c.comp").alias("c_comp")))
-    links.append(linked(heads.join(some, (F.col("key") == F.col("c_key")) & (F.col("comp") != F.col("c_comp"))).select("tid", "c_id")))
-    labels = components(reduce(DataFrame.unionByName, links))
-    members = _open(written(_relabelled(members, labels)))
+    turn = 0
     while not members.isEmpty():
-        # the texts of small classes first: when those have left, the bucket is settled
-        sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
-        sized = members.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
+        # first texts with a large s, which are near many others; then the texts of small classes, for when those have left, the bucket is settled
+        if turn:
+            sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
+            sized = members.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
+        else:
+            sized = members.withColumn("n", -F.col("s"))
         best = sized.groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("n", "tid", "comp", "w", "s")).alias("c"))
+        turn += 1
         centres = written(best.select(F.col("key").alias("c_key"), *[F.col(f"c.{x}").alias(f"c_{y}") for x, y in (("tid", "id"), ("comp", "comp"), ("w", "w"), ("s", "s"))]))
         common = F.least("s", "c_s")
         can = common >= threshold * (F.col("w") + F.col("c_w") - common) - 1e-9
