@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -424,8 +425,6 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
 
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of ids_col (array of ints; null counts as empty) as text_col."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = codec_of(model)
