@@ -4,7 +4,8 @@ One pass over a normalised text feeds the automaton; at each position its output
 there, and each of them relaxes the best segmentation of the prefix.  For unigram models this is Viterbi by the sum of scores.
 For BPE models the sum of scores isn't what defines the encoding (merges are), so there the same pass relaxes by
 merge order: of the pieces that end at a position, the one is taken that the merges would leave next to the last piece of
-the prefix before it.  Which pairs stay apart depends on the two pieces alone and is kept.  Both give the ids of the model's own library.
+the prefix before it.  Which pairs stay apart depends on the two pieces alone and is kept.  Both give the ids of the model's own library
+(unigram: of segmentations with equal sums either may stand).
 
 Characters without a piece become their UTF-8 bytes where the model has byte pieces, else the unknown id, one for a run.
 
