@@ -20,7 +20,6 @@ from .views import EXTENT, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-VALUE = F.col("value")
 XYZ = ("z", "y", "x")
 BOXES = ("z0", "y0", "x0", "z1", "y1", "x1")
 
@@ -52,7 +51,7 @@ SELECT z // 2 AS bz, y // 4 AS by, x // 4 AS bx, count(*) AS n, round(avg(value)
 def volume_pipeline(spark, d):
     """Cutout, threshold, 2 x 2 x 2 average, and count and mean of each block of the result."""
     cut = V.cutout(views.vox(spark, d), (0, 4, 4), (8, 28, 28))
-    small = A.downsample(V.mapped(cut, V.threshold(VALUE, 40)), (2, 2, 2))
+    small = A.downsample(V.mapped(cut, V.threshold(F.col("value"), 40)), (2, 2, 2))
     blocks = [G.floor_div(a, n).alias(f"b{a}") for a, n in zip(XYZ, (2, 4, 4))]
     return rounded(small.groupBy(*blocks).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), "mean")
 
@@ -63,7 +62,7 @@ def volume_pipeline(spark, d):
 def voxel_map(name: str, sql: str, column) -> None:
     @query(f"SELECT z, y, x, {sql} AS value FROM vox", "vox")
     def run(spark, d):
-        return V.mapped(views.vox(spark, d), column(VALUE))
+        return V.mapped(views.vox(spark, d), column(F.col("value")))
 
     QUERIES[name] = QUERIES.pop("run")
     ORACLE[name] = ORACLE.pop("run")
@@ -110,7 +109,7 @@ def create_chunk(spark, d):
 def embedding_voxels(spark, d):
     """Each embedding as a 4 x 4 x 4 block, voxel by voxel."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long"), F.posexplode("embedding").alias("i", "value"))
-    return e.select("vec_id", F.floor(F.col("i") / 16).alias("z"), F.floor(F.col("i") / 4 % 4).alias("y"), (F.col("i") % 4).cast("long").alias("x"), F.round(VALUE.cast("double"), 6).alias("value"))
+    return e.select("vec_id", F.floor(F.col("i") / 16).alias("z"), F.floor(F.col("i") / 4 % 4).alias("y"), (F.col("i") % 4).cast("long").alias("x"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 # filters
@@ -133,12 +132,12 @@ def blackout_sections(spark, d):
 
 @query("SELECT z, y, x FROM vox WHERE value > 100", "vox")
 def where(spark, d):
-    return V.where(V.mapped(views.vox(spark, d), V.threshold(VALUE, 100)))
+    return V.where(V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 100)))
 
 
 @query("SELECT z // 2 AS tz, y // 2 AS ty, x // 2 AS tx FROM vox GROUP BY 1, 2, 3 HAVING bool_or(value > 60)", "vox")
 def skip_all_zero(spark, d):
-    df = V.mapped(views.vox(spark, d), V.threshold(VALUE, 60))
+    df = V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 60))
     return V.not_all_zero(df.withColumns({f"t{a}": G.floor_div(a, 2) for a in XYZ}), ["tz", "ty", "tx"])
 
 
@@ -171,7 +170,7 @@ def blend(spark, d):
 @query("SELECT z, y, x, CASE WHEN y < 8 THEN 255 - value ELSE value END AS value FROM vox", "vox")
 def save_into(spark, d):
     v = views.vox(spark, d)
-    return V.save_into(v, V.mapped(V.cutout(v, (0, 0, 0), (8, 8, 32)), V.inverse(VALUE)))
+    return V.save_into(v, V.mapped(V.cutout(v, (0, 0, 0), (8, 8, 32)), V.inverse(F.col("value"))))
 
 
 # aggregations
@@ -336,7 +335,7 @@ def edit_distance(spark, d):
 
 @query("SELECT round(count(*) FILTER (value > 40 AND y % 2 = 0) / (count(*) FILTER (value > 40))::DOUBLE, 9) AS precision, round(count(*) FILTER (value > 40 AND y % 2 = 0) / (count(*) FILTER (y % 2 = 0))::DOUBLE, 9) AS recall FROM vox", "vox")
 def boundary_precision_recall(spark, d):
-    return rounded(M.boundary_precision_recall(views.vox(spark, d), VALUE > 40, F.col("y") % 2 == 0), "precision", "recall", digits=9)
+    return rounded(M.boundary_precision_recall(views.vox(spark, d), F.col("value") > 40, F.col("y") % 2 == 0), "precision", "recall", digits=9)
 
 
 @query("SELECT seg, gt, n FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY n DESC, gt) AS r FROM tab) WHERE r = 1", "tab")
@@ -588,13 +587,13 @@ def detect_points(spark, d):
 
 @query()
 def connected_components(spark, d):
-    df = V.mapped(views.vox(spark, d), V.threshold(VALUE, 40))
+    df = V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 40))
     return B.connected_components(df, EXTENT, (4, 16, 16))
 
 
 @query()
 def fill_segmentation_holes(spark, d):
-    return B.fill_holes(V.mapped(views.vox(spark, d), V.threshold(VALUE, 20)), EXTENT, (4, 16, 16))
+    return B.fill_holes(V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 20)), EXTENT, (4, 16, 16))
 
 
 @query("SELECT true AS valid")
