@@ -53,7 +53,7 @@ KINDS = (
 NAMES = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: what every match has; texts without it are turned away
-HINT = r"[0-9]{4}|[0-9][./-][0-9]|@[A-Za-z0-9-]+\."
+HINT = r"[0-9]{4}|[0-9][./-][0-9]|@[A-Za-z0-9-]+\.|\+[0-9]|[A-Z]{2}[0-9]{2}"
 #: given-out area numbers: 001 to 899 without 666; groups 01 to 99; serials 0001 to 9999
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 #: days from 1900-01-01 to 2099-12-31 as 319 times 229
