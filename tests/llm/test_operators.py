@@ -100,6 +100,21 @@ def test_pii_scans_texts_with_one_short_match(spark):
             assert alone.pii_spans == more.pii_spans, o
 
 
+def test_pii_compact_phones(spark):
+    """A phone has one pseudonym however it is grouped."""
+    forms = [["+15551234567", "+1 (555) 123-4567", "+1-555-123-4567"], ["+4915112345678", "+49 151 1234 5678", "+49 (151) 12345678"], ["+351912345678", "+351 912 345 678"], ["+34612345678", "+34 612 345 678"], ["+12345678"], ["+123456789012345"]]
+    texts = [f"call {x}." for group in forms for x in group] + ["+1234567", "+1234567890123456", "1+15551234567"]
+    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [len(r.pii_spans) for r in out] == [1] * (len(texts) - 3) + [0] * 3
+    at = 0
+    for group, code in zip(forms, ("1", "49", "351", "34", "1", "1")):
+        found = [r.pii_spans[0] for r in out[at : at + len(group)]]
+        at += len(group)
+        assert [s.value for s in found] == group and all(s.kind == "phone" for s in found)
+        new = {re.sub(r"\D", "", s.pseudonym) for s in found}
+        assert len(new) == 1 and new.pop().startswith(code) and all(s.pseudonym != s.value for s in found)
+
+
 def test_pii_is_a_permutation(spark):
     df = spark.range(6 * 7).select(pii.feistel(F.col("id"), F.lit(6), F.lit(7), "key", "x").alias("v"))
     assert sorted(r.v for r in df.collect()) == list(range(42))

@@ -6,7 +6,7 @@ values get equal pseudonyms in every document, different values get different on
 * card: 13 to 19 digits with a valid Luhn sum; the first digit stays, the others but the last are permuted and the last is made anew.
 * iban: country code and 11 to 30 digits and capitals with a valid remainder modulo 97; digits are permuted, letters stay, the check digits are made anew.
 * ssn: ddd-dd-dddd with an area, group and serial that are given out; permuted among those.
-* phone: + and country code, or (ddd) or ddd- at the start, 8 to 15 digits in all; the digits after the country code are permuted.
+* phone: + and country code, or (ddd) or ddd- at the start, 8 to 15 digits in all, grouped or not; the digits after the country code are permuted.
 * ip: four numbers up to 255; permuted among all addresses.
 * date: yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy (dd/mm/yyyy with day_first) in the calendar of 1900 to 2099; the day is permuted among those.
 * email: `user` and 16 digits at example.invalid; the digits are a keyed hash of the lower-case address, for an address is no number to permute.
@@ -47,6 +47,7 @@ KINDS = (
     ("card", NO + r"[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{5}" + END),
     ("phone", r"(?<![\p{L}\p{N}+])\+1[\x20.-]?(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}" + END),
     ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\)|[\x20.-][0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){1,4}" + END),
+    ("phone", r"(?<![\p{L}\p{N}+])\+[0-9]{8,15}" + END),
     ("phone", r"(?<![\p{L}\p{N}+(])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}" + END),
     ("phone", NO + r"(?<!-)[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-?[\p{L}\p{N}])"),
 )
@@ -54,6 +55,8 @@ NAMES = ("card", "iban", "ssn", "phone", "ip", "date", "email")
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 #: what every match has; texts without it are turned away
 HINT = r"[0-9]{4}|[0-9][./-][0-9]|@[A-Za-z0-9-]+\.|\+[0-9]|[A-Z]{2}[0-9]{2}"
+#: the country code at the start of a number's digits, however they are grouped (ITU-T E.164: those not listed have three digits)
+COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: given-out area numbers: 001 to 899 without 666; groups 01 to 99; serials 0001 to 9999
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 #: days from 1900-01-01 to 2099-12-31 as 319 times 229
@@ -171,8 +174,7 @@ def once(value: Column, use) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     d = digits(m)
-    # digits of the country code: those after + up to the first mark
-    n = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]+)", 1))).otherwise(0)
+    n = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(0)
     own = F.substring(d, n + 1, F.length(d))
     new = F.concat(F.substring(d, F.lit(1), n), permuted_digits(own, key, "phone"))
     return F.when(F.length(d).between(8, 15) & (F.length(own) >= 5), filled(m, new))
