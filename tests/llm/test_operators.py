@@ -328,6 +328,23 @@ def test_entropy_windows_and_allow_list(spark, odd, empty):
     assert secrets.digest(odd).count() == odd.count() and secrets.digest(empty).count() == 0
 
 
+def test_entropy_of_runs_with_slashes_and_base_spans(spark):
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    secret, commit = "q7Zp2XcV9bLm4KtR8wYs3HdF", "0f1e2d3c4b5a69788796a5b4c3d2e1f00f1e2d3c"
+    held = [f"/services/T01AB2CD3/B04EF5GH6/{secret}", f"{commit}/{secret}Jn6Q", f"{secret}Jn6Q/{commit}", f"/example/{secret}", f"{secret[:14]}/{secret[14:]}a1Xk", "/files/" + "0123ABCD4567EF89" * 2 + "A1B2C3D4"]
+    free = ["/usr/local/lib/python3/dist-packages/numpy", "data/year=2024/month=05/day=12/part-00001", "services/v2Beta1/things/list", f"/repo/commit/{commit}", "src/main/java/Foo2Bar/HelloWorld", "a/" * 20]
+    drawn = [r for r in ("".join(rng.choice(chars) for _ in range(40)) for _ in range(4000)) if re.fullmatch("/?[A-Za-z0-9]+(/[A-Za-z0-9]+)+/?", r)]
+    texts = [f"see {x} end" for x in held + free + drawn]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = [r.spans for r in secrets.digest(df).orderBy("doc_id").collect()]
+    assert all("entropy" in s for s in spans[: len(held)]), spans[: len(held)]
+    assert not any("entropy" in s for s in spans[len(held) : len(held) + len(free)]), spans[len(held) : len(held) + len(free)]
+    assert len(drawn) > 500 and sum("entropy" in s for s in spans[-len(drawn) :]) > 0.9 * len(drawn)
+    safe = [r.text for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert not any(secret[:14] in t or secret[-10:] in t for t in safe[: len(held)])
+
+
 # 8
 
 

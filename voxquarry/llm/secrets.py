@@ -5,7 +5,10 @@ tokens, access keys, and long hexadecimal runs.  The method adds spans of kind `
 characters are candidates; in each, windows of `window` characters slide over the run while the counts of
 characters are kept up by one character in and one out, and the sum of c log2 c with them.  A run's class (hexadecimal, alphanumeric, base 64) fixes the
 entropy that a window has to reach; the span is the union of the run's windows that do.  A run on the allow list
-(words, checksums in prose, paths, repeated patterns: `ALLOW`) is suppressed, as is a run in which a base span lies, for it is found already.
+(words, checksums in prose, repeated patterns: `ALLOW`) is suppressed.  Of a run with a `/`, the allow list judges the parts
+between: a path is suppressed if the parts that are no words have fewer than `window` characters together, any other such
+run if all its parts are allowed too; else the windows of the run and of its longer parts count.  Base spans are found already, so
+what is left of a run before, between and after them is judged as runs of their own.
 
 Positions are in code points, the end exclusive.  They come from the lengths of the parts between matches, so no
 text leaves the JVM.  Texts without a possible match are turned away by one test of a pattern.
@@ -31,11 +34,16 @@ ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE]
 BASE = (("assign", ASSIGN, 2, 6), ("access", "AKIA[A-Z0-9]{16,}", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPANS = "array<struct<start:bigint,place:int,kind:string,end:bigint>>"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: least length of a candidate run
+LEAST = 20
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: class of a run, its pattern, and the entropy in bits that a window of 20 characters must reach
 CLASSES = (("hexadecimal", "^[0-9a-fA-F]+$", 3.15), ("alphanumeric", "^[A-Za-z0-9]+$", 3.75), ("base64", "", 3.75))
-#: runs that are no secrets: without a digit, without a letter, one case and one number, paths, UUIDs
-ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^[A-Za-z][a-z]*[0-9]+$", "^[a-z0-9]+([/_=-][a-z0-9]+){2,}$", "^/?[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+/?$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh")
+#: runs that are no secrets: without a digit, without a letter, one case and one number, names with marks, UUIDs
+ALLOW = ("^[^0-9]*$", "^[^A-Za-z]*$", "^[A-Za-z][a-z]*[0-9]+$", "^[a-z0-9]+([/_=-][a-z0-9]+){2,}$", "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", "(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh")
+PATH = "^/?[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+/?$"
+#: besides `ALLOW`, a part of a run with `/` that is no secret: words, each with a number or none, and numbers, joined by marks
+NAME = "^([A-Za-z][a-z]*[0-9]*|[0-9]+)([_=-]([A-Za-z][a-z]*[0-9]*|[0-9]+))*$"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -102,19 +110,53 @@ def dense(run: Column, window: int) -> Column:
     return F.aggregate(steps, begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def allowed(run: Column) -> Column:
+    out = F.lit(False)
+    for pattern in ALLOW:
+        out |= run.rlike(pattern)
+    return out
+
+
+def open_parts(run: Column) -> Column:
+    """Array of (at, part) of the parts of a run between `/` that are not allowed; at counts from 0."""
+    parts = F.aggregate(
+        F.split(run, "/"),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,part:string>>").alias("out")),
+        lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), x.alias("part")))).alias("out")),
+    )["out"]
+    return F.filter(parts, lambda x: ~(allowed(x["part"]) | x["part"].rlike(NAME)))
+
+
+def uncovered(x: Column, base: Column) -> Column:
+    """Array of (start, match) of what base spans leave of a run x, without what is too short for a candidate."""
+    end = x["start"] + F.length(x["match"])
+    piece = lambda a, z: F.struct(a.alias("start"), F.substring(x["match"], (a - x["start"] + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int")).alias("match"))
+    own = F.array_sort(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > x["start"])))
+    begin = F.struct(x["start"].alias("at"), F.array().cast("array<struct<start:bigint,match:string>>").alias("out"))
+    cut = F.aggregate(own, begin, lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], F.array(piece(s["at"], b["start"]))).alias("out")), lambda s: F.concat(s["out"], F.array(piece(s["at"], end))))
+    return F.filter(F.when(F.size(own) > 0, cut).otherwise(F.array(x)), lambda y: F.length(y["match"]) >= LEAST)
+
+
+def measured(run: Column, window: int) -> Column:
+    """Array of (at, part) of what is measured of a run: nothing if it is no secret, else the whole and, with `/`, its longer parts."""
+    whole = F.array(F.struct(F.lit(0).alias("at"), run.alias("part")))
+
+    def with_parts(parts: Column) -> Column:
+        rest = F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x["part"]))
+        fine = F.when(run.rlike(PATH), rest < window).otherwise(allowed(run) & (rest == 0))
+        return F.when(~fine, F.concat(whole, F.filter(parts, lambda x: F.length(x["part"]) >= window)))
+
+    out = F.when(run.contains("/"), F.element_at(F.transform(F.array(open_parts(run)), with_parts), 1)).otherwise(F.when(~allowed(run), whole))
+    return F.coalesce(out, F.array().cast("array<struct<at:int,part:string>>"))
+
+
 def entropy_spans(text: Column, base: Column, window: int) -> Column:
-    """Array of (start, place, kind, end) of dense runs that are not on the allow list and hold no base span."""
-
-    def open_(x: Column) -> Column:
-        ok = ~F.exists(base, lambda b: (b["start"] < x["start"] + F.length(x["match"])) & (b["end"] > x["start"]))
-        for pattern in ALLOW:
-            ok &= ~x["match"].rlike(pattern)
-        return ok
-
-    runs = F.filter(found(text, CANDIDATE), open_)
-    spans = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), dense(x["match"], window).alias("d")))
-    spans = F.filter(spans, lambda x: x["d"]["first"].isNotNull())
-    out = F.transform(spans, lambda x: F.struct((x["start"] + x["d"]["first"]).alias("start"), F.lit(len(BASE)).alias("place"), F.lit("entropy").alias("kind"), (x["start"] + x["d"]["last"] + window).alias("end")))
+    """Array of (start, place, kind, end) of dense runs that are not on the allow list, outside base spans."""
+    runs = F.flatten(F.transform(found(text, CANDIDATE), lambda x: uncovered(x, base)))
+    parts = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), F.transform(measured(x["match"], window), lambda y: F.struct(y["at"].alias("at"), dense(y["part"], window).alias("d"))).alias("parts")))
+    spans = F.transform(parts, lambda x: F.struct(x["start"].alias("start"), F.array_min(F.transform(x["parts"], lambda y: y["at"] + y["d"]["first"])).alias("first"), F.array_max(F.transform(x["parts"], lambda y: y["at"] + y["d"]["last"])).alias("last")))
+    spans = F.filter(spans, lambda x: x["first"].isNotNull())
+    out = F.transform(spans, lambda x: F.struct((x["start"] + x["first"]).alias("start"), F.lit(len(BASE)).alias("place"), F.lit("entropy").alias("kind"), (x["start"] + x["last"] + window).alias("end")))
     return F.when(text.rlike(CANDIDATE), out).otherwise(none(SPANS))
 
 
