@@ -1,6 +1,8 @@
 """The corpus operators against SQL, brute force, libraries and held-out labels, and the cases that their docstrings define."""
 
+import fractions
 import hashlib
+import math
 import random
 import re
 import sys
@@ -400,6 +402,39 @@ def test_topk_odd(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+def best_by_force(rows, k=5):
+    """(query_id, rank, vec_id, score) in Python integers."""
+    whole = lambda x: math.floor(fractions.Fraction(x) * 256)
+    q = [(i, [whole(x) for x in v]) for i, v in rows]
+    out = []
+    for i, v in q:
+        if i % 50 == 0:
+            own = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i and len(v) == len(w))
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(own[:k])]
+    return out
+
+
+def test_topk_beyond_small_components(spark):
+    """Large finite vectors are queries and candidates like all others."""
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) * 10 ** rng.choice([0, 0, 0, 3, 5, 6]) for _ in range(8)]) for i in range(300)]
+    rows += [(300, [600000.0] + [0.5] * 7), (301, [-700000.0, 800000.25] + [0.0] * 6), (302, [2.0**24] + [0.0] * 7), (303, [-(2.0**25)] + [0.0] * 7)]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    search = lambda rows: [tuple(r) for r in topk.search(df(rows), F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect()]
+    assert max(256 * abs(x) for _, v in rows for x in v) > topk.LIMIT and search(rows) == best_by_force(rows)
+    # many dimensions: the sum leaves 64 bits although no component is large
+    wide = [(0, [-5e5] * 600), (1, [5e5] * 600), *[(i, [-1.0] * 600) for i in range(2, 8)]]
+    assert search(wide) == best_by_force(wide)
+    # scores without a 64-bit integer: no matter below the k best, an error among them
+    far = [(0, [-1.0]), (1, [-(2.0**45) - 0.5]), (2, [2.0**45 + 0.5])]
+    assert search(far) == best_by_force(far)
+    few = [(0, [1e30, 1.0]), (1, [0.0, 3.0]), (2, [-1e30, 0.0])]
+    assert [r[:3] for r in search([*few, *[(i, [0.0, float(i)]) for i in range(3, 9)]])] == [(0, i, 9 - i) for i in range(1, 6)]
+    for bad in (few, [(0, [1e30, 1.0]), (1, [1e30, 1.0])]):
+        with pytest.raises(Exception, match="no 64-bit integer"):
+            search(bad)
+
+
 # pipeline
 
 

@@ -1,6 +1,7 @@
 """Exact top-k inner-product search by the three-phase uniform threshold algorithm.
 
-Vectors are quantised to integers (floor(256 x)), so scores are exact.  The dimensions are cut into a few lists; a
+Vectors are quantised to integers (floor(256 x)), so scores are exact: blocks of vectors whose scores could leave 62 bits are
+multiplied as Python integers.  The dimensions are cut into a few lists; a
 vector's score is the sum of its entries in the lists.  Queries are taken in blocks of fixed size:
 
 1. every task gathers, from each list, its k highest entries for each query and scores those vectors in full; the
@@ -13,8 +14,8 @@ Scale: a block's queries and cutoffs are all that is broadcast (block x dimensio
 size), each task sends k rows a query at most, and k rows a query and task meet where the best are merged, after a
 map-side limit.  There is no join of vectors with vectors.
 
-Defined cases: vectors that are null, or hold a null, a non-finite or a quantised component beyond +-2**27, take no
-part, nor do null ids; vectors of another length than the query's are no candidates for it; a query's candidates are the rows with
+Defined cases: vectors that are null, or hold a null or a non-finite component, take no
+part, nor do null ids; a score among the k best that is no 64-bit integer raises an error; vectors of another length than the query's are no candidates for it; a query's candidates are the rows with
 other ids; rows that share an id are one candidate with the score of
 its best vector, and one query, for which the largest vector (in array order) stands;
 fewer candidates than k give fewer rows; ties go to the smaller id; an empty table gives no rows.
@@ -22,6 +23,7 @@ fewer candidates than k give fewer rows; ties go to the smaller id; an empty tab
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,28 +33,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+#: quantised components from here on are wide: their vectors are multiplied apart, so that they don't slow others down
 LIMIT = 2**27
+#: sums of products below this are left to 64-bit integers, and are above LOW
+SAFE = 2**61
+LOW, LOWER = -SAFE, -(1 << 4096)
+TOO_LARGE = "a score among the k best is no 64-bit integer"
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and q (array of longs): floor(256 x) of each vector that takes part."""
-    scaled = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(256.0) * x.cast("double")))
-    finite = F.forall(F.col(vec_col), lambda x: F.coalesce(x.cast("double").between(-LIMIT / 256.0, LIMIT / 256.0 - 1) & ~F.isnan(x.cast("double")), F.lit(False)))
+    """id and q (array of doubles): floor(256 x) / 256 of each vector that takes part, which is exact for every finite x."""
+    # from 2**45 on 256 x is an integer as it stands
+    step = lambda x: F.when(F.abs(x) < 2.0**45, F.floor(F.lit(256.0) * x).cast("double") / 256.0).otherwise(x)
+    scaled = F.transform(F.col(vec_col), lambda x: step(x.cast("double")))
+    top = sys.float_info.max
+    finite = F.forall(F.col(vec_col), lambda x: F.coalesce(x.cast("double").between(-top, top), F.lit(False)))
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("id"), scaled.alias("q"))
 
 
 def _matrix(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, integer matrix) for each length of vector."""
+    """(row numbers, matrix of quantised components) for each length of vector, wide vectors apart as Python integers."""
     offsets = np.asarray(column.offsets)
     sizes = np.diff(offsets)
     flat = column.values.to_numpy(zero_copy_only=False)
-    return [(at, flat[offsets[at][:, None] + np.arange(d)]) for d in np.unique(sizes) for at in [np.flatnonzero(sizes == d)]]
+    out = []
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        m = flat[offsets[at][:, None] + np.arange(d)]
+        wide = np.abs(m).max(axis=1, initial=0) >= LIMIT / 256
+        if not wide.all():
+            out.append((at[~wide], (m[~wide] * 256).astype("i8")))
+        if wide.any():
+            exact = [[int(x * 256) if abs(x) < 2.0**1000 else int(x) * 256 for x in row] for row in m[wide].tolist()]
+            out.append((at[wide], np.array(exact, object).reshape(int(wide.sum()), d)))
+    return out
+
+
+def top_of(m: np.ndarray) -> int:
+    return int(np.abs(m).max(initial=0))
+
+
+def entries_of(a: np.ndarray, b: np.ndarray, cuts: list[np.ndarray]) -> list[np.ndarray]:
+    """Exact a @ b.T over each list of dimensions: by floating point where every sum stays below 2**53, by Python integers where 64 bits could be left."""
+    top = top_of(a) * top_of(b) * max(1, a.shape[1])
+    kind = "f8" if top < 2**53 else "i8" if top < SAFE else object
+    a, b = a.astype(kind), b.astype(kind)
+    return [(a[:, d] @ b[:, d].T).astype(object if kind is object else "i8") for d in cuts]
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer a @ b.T: by floating point where every sum stays below 2**53."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype("f8") @ b.T.astype("f8")).astype("i8") if top < 2**53 else a @ b.T
+def sent(score: np.ndarray) -> pa.Array:
+    """Scores as longs.  Whatever the other rows, one above them has none but such above it; one below them is null, after all others."""
+    if score.dtype != object:
+        return pa.array(score, pa.int64())
+    if any(x >= 2**63 for x in score):
+        raise OverflowError(TOO_LARGE)
+    return pa.array([int(x) if x >= -(2**63) else None for x in score], pa.int64())
 
 
 def local_best(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +117,11 @@ def search(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_i
         queries = spark.sparkContext.broadcast((qids, groups))
         best = rows.mapInArrow(_phase(queries, None, k, lists), schema)
         own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        kth = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).toArrow()
+        kth = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("t"), F.count("score").alias("n")).filter(F.col("n") == k).toArrow()
         cut = spark.sparkContext.broadcast(dict(zip(kth.column("query_id").to_pylist(), kth.column("t").to_pylist())))
         found = rows.mapInArrow(_phase(queries, cut, k, lists), schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         found = found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)
-        out = out.unionByName(found.select("query_id", "rank", "vec_id", "score"))
+        out = out.unionByName(found.select("query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit(TOO_LARGE)).cast("long")).alias("score")))
     return out
 
 
@@ -103,13 +138,13 @@ def _phase(queries, cut, k: int, lists: int):
                         yield from scored(ids_all[at], c, qids[qat], q)
 
     def scored(ids: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low = np.iinfo("i8").min // 4
         cuts = np.array_split(np.arange(c.shape[1]), min(lists, max(1, c.shape[1])))
         for f in range(0, len(qid), 512):
             part_id, part = qid[f : f + 512], q[f : f + 512]
             for g in range(0, len(ids), 4096):
                 own, rows = ids[g : g + 4096], c[g : g + 4096]
-                entries = [product(rows[:, d], part[:, d]) for d in cuts]
+                entries = entries_of(rows, part, cuts)
+                kind, low = (object, LOWER) if entries[0].dtype == object else ("i8", LOW)
                 same = own[:, None] == part_id[None]
                 if cut is None:
                     at = np.concatenate([np.argpartition(np.where(same, low, e), max(0, len(own) - k), axis=0)[-k:] for e in entries])
@@ -119,7 +154,7 @@ def _phase(queries, cut, k: int, lists: int):
                     score = sum(e[row, col] for e in entries)
                 else:
                     # a query with fewer than k rows gathered has no cutoff: all its rows are collected
-                    t = np.array([cut.value.get(int(x), low) for x in part_id])
+                    t = np.array([cut.value.get(int(x), low) for x in part_id], kind)
                     some = np.zeros(same.shape, bool)
                     for e in entries:
                         some |= e >= -(-t // len(entries))
@@ -127,6 +162,6 @@ def _phase(queries, cut, k: int, lists: int):
                     score = sum(e[row, col] for e in entries)
                     row, col, score = (x[score >= t[col]] for x in (row, col, score))
                 row, col, score = local_best(row, col, score, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(part_id[col]), pa.array(own[row]), pa.array(score)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(part_id[col]), pa.array(own[row]), sent(score)], ["query_id", "vec_id", "score"])
 
     return run
