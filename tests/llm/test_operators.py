@@ -63,6 +63,36 @@ def test_substring_odd(odd, empty):
     assert by[7].n_removed == 30_000 and by[2].n_removed == 6
 
 
+def kept_by_force(rows, window):
+    """Kept text of each row, rows alike in doc_id and text being one document; doc_ids of different texts differ."""
+    seen, kept = set(), {}
+    for i, t in sorted(set(rows)):
+        w = t.split()
+        gone = set()
+        for a in range(len(w) - window + 1):
+            x = tuple(w[a : a + window])
+            if x in seen:
+                gone |= set(range(a, a + window))
+            seen.add(x)
+        kept[i, t] = " ".join(x for a, x in enumerate(w) if a not in gone)
+    return sorted((i, kept[i, t]) for i, t in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_keep_their_first_passage(spark, parts):
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = [own(40) for _ in range(6)]
+    # passages alone, in other surroundings (runs that differ) and in part
+    texts = [" ".join(own(rng.randrange(12)) + rng.choice(passage)[rng.randrange(8) :] + own(rng.randrange(12))) for _ in range(40)] + [" ".join(own(25)) for _ in range(5)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(1 + (i % 3 > 0) * 2)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    for window in (20, 5):
+        got = sorted((r.doc_id, r.kept_text) for r in substring.remove_repeats(df, window=window).collect())
+        assert got == kept_by_force(rows, window)
+
+
 # 2
 
 

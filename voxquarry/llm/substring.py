@@ -141,13 +141,23 @@ def ordered(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> np
     return np.lexsort((at >> 30, at >> 14 & 0xFFFF, key, c, h))
 
 
+def once(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order, without rows alike in h, c, key and place: they come from repeated rows of one document, and repeat nothing."""
+    o = ordered(h, c, key, at)
+    own = np.ones(len(o), bool)
+    own[1:] = False
+    for x in (h, c, key, at >> 14):
+        own[1:] |= np.diff(x[o]) != 0
+    return o[own]
+
+
 def rows(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view("i8")) for x in (h, c, key, at)], ["h", "c", "key", "at"])
 
 
 def settled_here(h, c, key, at, level: int) -> pa.RecordBatch:
     """What a task sends of its rows (h, c, key, at): what it can settle becomes decisions, and one row is left of each h."""
-    o = ordered(h, c, key, at)
+    o = once(h, c, key, at)
     h, c, key, at = h[o], c[o], key[o], at[o]
     new_h = np.ones(len(h), bool)
     new_h[1:] = h[1:] != h[:-1]
@@ -186,6 +196,7 @@ def judged(level: int):
         varied = np.zeros(len(h), bool)
         if len(h):
             varied = (np.bincount(g, kind == VARIED) > 0)[g]
+        probe = probe[once(h[probe], c[probe], key[probe], at[probe])]
         h, c, key, at, g, varied = h[probe], c[probe], key[probe], at[probe], g[probe], varied[probe]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
