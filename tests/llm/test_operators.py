@@ -2,6 +2,7 @@
 
 import fractions
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -63,6 +64,11 @@ def test_substring_odd(odd, empty):
     assert by[7].n_removed == 30_000 and by[2].n_removed == 6
 
 
+def test_substring_names_only_what_exists():
+    names = re.findall(r"`(\w+)`", substring.__doc__)
+    assert names and all(hasattr(substring, n) or n in inspect.signature(substring.remove_repeats).parameters for n in names)
+
+
 def kept_by_force(rows, window):
     """Kept text of each row, rows alike in doc_id and text being one document; doc_ids of different texts differ."""
     seen, kept = set(), {}

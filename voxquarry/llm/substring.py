@@ -9,7 +9,7 @@ leftmost of equals) is its anchor.  Equal windows have the same anchor at the sa
 not repeat settles all its windows.  Consecutive windows with one anchor make a run of under twice the length.  Of
 repeated anchors, runs that repeat as a whole are settled too: all but the first are removed.  Only runs that share an anchor but
 differ are extended to single windows of the full length on the second level, where the last candidates are
-settled.  `longest_repeats` goes on doubling until no candidate survives.
+settled.  There are these two levels only, so one doubling; repeats longer than a window are found as windows that overlap.
 
 Scale: a task sends a row for each different anchor of its own rows, so an anchor that a third of all documents share costs a row a
 task; whatever a task can settle alone goes along as a decision.  What meets is sorted by Spark (which
