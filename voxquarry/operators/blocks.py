@@ -9,6 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import re
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -163,13 +166,21 @@ def connected_components(df: DataFrame, extent: Triple, block: Triple, connectiv
     return df.select(*AXES).join(out, list(AXES), "left").select(*AXES, F.coalesce("label", F.lit(0)).alias("value"))
 
 
+def _shared(context) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one, for a local master only, whose driver is its only executor."""
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found and re.fullmatch(r"local(\[.*\])?", context.master):
+        found = f"file://{tempfile.mkdtemp(prefix='volume-')}"
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Lineage cut in the folder spark.checkpoint.dir names, which all executors share."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='volume-')}")
+        context.setCheckpointDir(_shared(context))
     return df.checkpoint()
 
 

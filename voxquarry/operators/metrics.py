@@ -51,16 +51,62 @@ def conditional_entropies(table: DataFrame, by: str) -> DataFrame:
     return own.crossJoin(total).select("label", (F.col("m") / F.col("t")).alias("p"), "h", (F.col("m") / F.col("t") * F.col("h")).alias("ph"))
 
 
-def split_vi(table: DataFrame) -> DataFrame:
-    """false_merge: H(gt given seg), false_split: H(seg given gt), in bits, and their sum vi."""
+def labelled(table: DataFrame, ignore: tuple[int, ...] = (0,)) -> DataFrame:
+    """The contingency table without pairs that have a label of ignore on either side."""
+    return table.filter(~(F.col("seg").isin(*ignore) | F.col("gt").isin(*ignore))) if ignore else table
+
+
+def split_vi(table: DataFrame, ignore: tuple[int, ...] = (0,)) -> DataFrame:
+    """false_merge: H(gt given seg), false_split: H(seg given gt), in bits, and their sum vi; labels of ignore are left out."""
+    table = labelled(table, ignore)
     under = conditional_entropies(table, "seg").agg(F.sum("ph").alias("false_merge"))
     over = conditional_entropies(table, "gt").agg(F.sum("ph").alias("false_split"))
     return under.crossJoin(over).withColumn("vi", F.col("false_merge") + F.col("false_split"))
 
 
-def sorted_vi_components(table: DataFrame, by: str) -> DataFrame:
-    """label, p, h and p h, for ordering by p h descending."""
-    return conditional_entropies(table, by)
+def sorted_vi_components(table: DataFrame, by: str, ignore: tuple[int, ...] = (0,)) -> DataFrame:
+    """label, p, h and p h, for ordering by p h descending; labels of ignore are left out."""
+    return conditional_entropies(labelled(table, ignore), by)
+
+
+def evaluate(table: DataFrame, threshold: int = 1000) -> DataFrame:
+    """One row: the Rand scores, the parts of vi, and the edit distance with overlaps above threshold."""
+    edits = edit_distance(table, threshold).withColumnsRenamed({"false_merges": "edit_merges", "false_splits": "edit_splits"})
+    return rand_scores(table).crossJoin(split_vi(table)).crossJoin(edits)  # one row each
+
+
+def split_components(table: DataFrame, label: int, most: int, by: str = "seg") -> DataFrame:
+    """Of the labels of the other side that overlap label: the `most` largest with label's share in them and theirs in label, largest first.
+
+    Columns: label, overlap (share of label that lies in it) and of (share of it that lies in label).
+    """
+    other = "gt" if by == "seg" else "seg"
+    sizes = table.groupBy(F.col(other).alias("label")).agg(F.sum("n").alias("size"))
+    own = table.filter(F.col(by) == label)
+    total = own.agg(F.sum("n").alias("t"))
+    out = own.join(sizes, F.col(other) == F.col("label")).crossJoin(total)  # total is one row
+    return out.select("label", (F.col("n") / F.col("t")).alias("overlap"), (F.col("n") / F.col("size")).alias("of")).orderBy(F.desc("overlap"), "label").limit(most)
+
+
+def vi_pairwise(df: DataFrame, labelings: list[str]) -> DataFrame:
+    """a, b and vi for each pair of the labelings (columns of df), a before b; labels 0 are left out."""
+    out = None
+    for i, a in enumerate(labelings):
+        for b in labelings[i + 1 :]:
+            row = split_vi(contingency(df, seg=a, gt=b)).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "vi")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def vi_statistics(table: DataFrame, by: str) -> DataFrame:
+    """Mean, median, largest and standard error of the vi parts (p h) of the labels of `by`."""
+    ph = F.col("ph")
+    return sorted_vi_components(table, by).agg(F.avg(ph).alias("mean"), F.median(ph).alias("median"), F.max(ph).alias("most"), sem(ph).alias("sem"))
+
+
+def sem(value: Column) -> Column:
+    """Standard error of the mean."""
+    return F.stddev_samp(value) / F.sqrt(F.count(value))
 
 
 def adapted_rand_error(table: DataFrame) -> DataFrame:

@@ -303,25 +303,49 @@ def pair_counts(spark, d):
     return M.pair_counts(tab(spark, d))
 
 
-_VI = """, rows_ AS (SELECT seg, sum(n) AS m FROM tab GROUP BY seg), cols AS (SELECT gt, sum(n) AS m FROM tab GROUP BY gt), t AS (SELECT sum(n)::DOUBLE AS t FROM tab)
+_VI = """, rows_ AS (SELECT seg, sum(n) AS m FROM tab0 GROUP BY seg), cols AS (SELECT gt, sum(n) AS m FROM tab0 GROUP BY gt), t AS (SELECT sum(n)::DOUBLE AS t FROM tab0)
 """
 
 
 @query(
     _PAIRS.rstrip() + _VI + """SELECT round((a + d) / (a + b + c + d), 9) AS rand_index, round(2 * (a * d - b * c) / ((a + b) * (b + d) + (a + c) * (c + d)), 9) AS adjusted_rand_index, round(a / sqrt((a + b) * (a + c)), 9) AS fowlkes_mallows,
-  round((SELECT -sum(tab.n / t.t * log2(tab.n / m::DOUBLE)) FROM tab JOIN rows_ USING (seg), t), 9) AS false_merge, round((SELECT -sum(tab.n / t.t * log2(tab.n / m::DOUBLE)) FROM tab JOIN cols USING (gt), t), 9) AS false_split FROM p""",
-    "tab",
+  round((SELECT -sum(tab0.n / t.t * log2(tab0.n / m::DOUBLE)) FROM tab0 JOIN rows_ USING (seg), t), 9) AS false_merge, round((SELECT -sum(tab0.n / t.t * log2(tab0.n / m::DOUBLE)) FROM tab0 JOIN cols USING (gt), t), 9) AS false_split,
+  CAST((SELECT coalesce(sum(m), 0) FROM (SELECT count(*) - 1 AS m FROM tab0 WHERE n > 100 GROUP BY seg)) AS BIGINT) AS edit_merges, CAST((SELECT coalesce(sum(m), 0) FROM (SELECT count(*) - 1 AS m FROM tab0 WHERE n > 100 GROUP BY gt)) AS BIGINT) AS edit_splits FROM p""",
+    "tab0",
 )
 def evaluate_segmentation(spark, d):
-    t = tab(spark, d)
-    return rounded(M.rand_scores(t).crossJoin(M.split_vi(t).drop("vi")), "rand_index", "adjusted_rand_index", "fowlkes_mallows", "false_merge", "false_split", digits=9)
+    return rounded(M.evaluate(tab(spark, d), 100).drop("vi"), "rand_index", "adjusted_rand_index", "fowlkes_mallows", "false_merge", "false_split", digits=9)
 
 
-@query(_VI + "SELECT seg AS label, round(m / t.t, 9) AS p, round(-sum(n / m::DOUBLE * log2(n / m::DOUBLE)), 9) AS h, round(m / t.t * -sum(n / m::DOUBLE * log2(n / m::DOUBLE)), 9) AS ph FROM tab JOIN rows_ USING (seg), t GROUP BY seg, m, t.t", "tab")
+@query(_VI + "SELECT seg AS label, round(m / t.t, 9) AS p, round(-sum(n / m::DOUBLE * log2(n / m::DOUBLE)), 9) AS h, round(m / t.t * -sum(n / m::DOUBLE * log2(n / m::DOUBLE)), 9) AS ph FROM tab0 JOIN rows_ USING (seg), t GROUP BY seg, m, t.t", "tab0")
 def sorted_vi_components(spark, d):
     return rounded(M.sorted_vi_components(tab(spark, d), "seg"), "p", "h", "ph", digits=9)
 
 
+@query(
+    """, own AS (SELECT gt AS label, n FROM tab WHERE seg = 3), sizes AS (SELECT gt AS label, sum(n) AS size FROM tab GROUP BY gt)
+SELECT label, round(n / (SELECT sum(n) FROM own), 9) AS overlap, round(n / size, 9) AS "of" FROM own JOIN sizes USING (label) ORDER BY overlap DESC, label LIMIT 3""",
+    "tab",
+)
+def split_components(spark, d):
+    return rounded(M.split_components(tab(spark, d), 3, 3), "overlap", "of", digits=9)
+
+
+def _vi_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}' AS a, '{b}' AS b, round(-sum(n / t * (log2(n / ra) + log2(n / rb))), 9) AS vi FROM (
+  SELECT n, sum(n) OVER (PARTITION BY p)::DOUBLE AS ra, sum(n) OVER (PARTITION BY q)::DOUBLE AS rb, sum(n) OVER ()::DOUBLE AS t FROM (SELECT {a} AS p, {b} AS q, count(*) AS n FROM three WHERE {a} <> 0 AND {b} <> 0 GROUP BY 1, 2))"""
+
+
+@query(", three AS (SELECT seg, gt, (seg + gt) % 3 AS mix FROM pairs) " + " UNION ALL ".join(_vi_sql(*x) for x in (("seg", "gt"), ("seg", "mix"), ("gt", "mix"))), "pairs")
+def vi_pairwise(spark, d):
+    return rounded(M.vi_pairwise(views.pairs(spark, d).withColumn("mix", (F.col("seg") + F.col("gt")) % 3), ["seg", "gt", "mix"]), "vi", digits=9)
+
+
+@query(_VI + ", c AS (SELECT m / t.t * -sum(n / m::DOUBLE * log2(n / m::DOUBLE)) AS ph FROM tab0 JOIN rows_ USING (seg), t GROUP BY seg, m, t.t) SELECT round(avg(ph), 9) AS mean, round(median(ph), 9) AS median, round(max(ph), 9) AS most, round(stddev_samp(ph) / sqrt(count(ph)), 9) AS sem FROM c", "tab0")
+def vi_statistics(spark, d):
+    return rounded(M.vi_statistics(tab(spark, d), "seg"), "mean", "median", "most", "sem", digits=9)
+
+
 @query(_PAIRS + "SELECT round(1 - 2 * ((s - n) / (r - n)) * ((s - n) / (k - n)) / ((s - n) / (r - n) + (s - n) / (k - n)), 9) AS error, round((s - n) / (r - n), 9) AS precision, round((s - n) / (k - n), 9) AS recall FROM p", "tab")
 def adapted_rand_error(spark, d):
     return rounded(M.adapted_rand_error(tab(spark, d)), "error", "precision", "recall", digits=9)
@@ -585,9 +609,14 @@ def detect_points(spark, d):
     return rounded(B.detect_points(views.vox(spark, d), EXTENT, (4, 16, 16), threshold=0.2), "value")
 
 
-@query()
+@query(
+    """, f AS (SELECT z * 1024 + y * 32 + x AS p, z, y, x FROM vox WHERE value > 200), e AS (SELECT a.p, b.p AS q FROM f a JOIN f b ON abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1),
+r AS (SELECT p AS root, p FROM f UNION SELECT r.root, e.q AS p FROM r JOIN e ON r.p = e.p), l AS (SELECT p, min(root) + 1 AS m FROM r GROUP BY p)
+SELECT z, y, x, CAST(coalesce(m, 0) AS BIGINT) AS value FROM vox LEFT JOIN l ON p = z * 1024 + y * 32 + x""",
+    "vox",
+)
 def connected_components(spark, d):
-    df = V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 40))
+    df = V.mapped(views.vox(spark, d), V.threshold(F.col("value"), 200))
     return B.connected_components(df, EXTENT, (4, 16, 16))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.voxels import grid
@@ -19,8 +20,8 @@ def _place() -> list:
 
 
 def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dense 8 by 32 by 32 uint8 image."""
-    cells = table(spark, sf_dir, "lineitem").groupBy(*_place()).agg(F.min(F.floor(F.col("l_quantity") * 5)).alias("v"))
+    """A dense 8 by 32 by 32 uint8 image; every row of lineitem adds to its voxel, and values spread over 0 to 250 whatever the number of rows."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(*_place()).agg(F.pmod(F.sum(F.floor(F.col("l_quantity") * 5)), F.lit(251)).alias("v"))
     return grid(spark, (0, 0, 0), EXTENT).join(cells, ["z", "y", "x"], "left").select("z", "y", "x", F.coalesce("v", F.lit(0)).cast("long").alias("value"))
 
 
@@ -52,11 +53,11 @@ def pre(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One post for each order and line number below 7; conf from 0.5 to 0.6."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") != 7)
-    key = (F.col("l_orderkey") * 64 + F.col("l_linenumber")).alias("post_idx")
-    rows = li.groupBy(key, F.col("l_orderkey").alias("pre_idx")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
-    return rows.select("post_idx", "pre_idx", (F.col("p") % 97).alias("z"), (F.col("s") % 101).alias("y"), F.floor(F.col("q")).cast("long").alias("x"), (F.lit(0.5) + F.col("q") / 500).alias("conf"))
+    """One post for each row of lineitem, numbered within its order; conf from 0.5 to 0.6."""
+    own = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(own))
+    p, s, q = (F.col(c) for c in ("l_partkey", "l_suppkey", "l_quantity"))
+    return rows.select((F.col("l_orderkey") * 4096 + F.col("k")).alias("post_idx"), F.col("l_orderkey").alias("pre_idx"), (p % 97).alias("z"), (s % 101).alias("y"), F.floor(q).cast("long").alias("x"), (F.lit(0.5) + q / 500).alias("conf"))
 
 
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,21 +70,22 @@ SQL = {
     "vox": """vox AS (
   SELECT g.z, g.y, g.x, coalesce(v.value, 0) AS value
   FROM (SELECT a.i AS z, b.i AS y, c.i AS x FROM (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(32)) AS i) b, (SELECT unnest(range(32)) AS i) c) g
-  LEFT JOIN (SELECT l_partkey % 8 AS z, l_suppkey % 32 AS y, l_orderkey % 32 AS x, CAST(min(floor(l_quantity * 5)) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2, 3) v USING (z, y, x))""",
+  LEFT JOIN (SELECT l_partkey % 8 AS z, l_suppkey % 32 AS y, l_orderkey % 32 AS x, CAST(sum(CAST(floor(l_quantity * 5) AS BIGINT)) % 251 AS BIGINT) AS value FROM lineitem GROUP BY 1, 2, 3) v USING (z, y, x))""",
     "lab": "lab AS (SELECT z, y, x, value // 20 AS value FROM vox)",
     "prob": """cells AS (
   SELECT l_partkey % 8 AS z, l_suppkey % 32 AS y, l_orderkey % 32 AS x, min(l_discount * 10) AS v0, min(l_tax * 12) AS v1, min(l_quantity / 50) AS v2 FROM lineitem GROUP BY 1, 2, 3
 ), prob AS (SELECT CAST(0 AS BIGINT) AS c, z, y, x, v0 AS value FROM cells UNION ALL SELECT 1, z, y, x, v1 FROM cells UNION ALL SELECT 2, z, y, x, v2 FROM cells)""",
     "coarse": "coarse AS (SELECT z // 2 AS z, y // 4 AS y, x // 4 AS x, CAST(avg(value) > 30 AS BIGINT) AS value FROM vox GROUP BY 1, 2, 3)",
     "pairs": "pairs AS (SELECT l_partkey % 7 AS seg, (l_suppkey + l_partkey % 3) % 5 AS gt FROM lineitem)",
+    "tab0": "tab0 AS (SELECT * FROM tab WHERE seg <> 0 AND gt <> 0)",
     "tab": "tab AS (SELECT seg, gt, count(*) AS n FROM pairs GROUP BY 1, 2)",
     "pre": "pre AS (SELECT o_orderkey AS pre_idx, o_orderkey % 97 AS z, o_custkey % 101 AS y, CAST(floor(o_totalprice % 103) AS BIGINT) AS x, o_orderpriority AS \"user\" FROM orders)",
     "post": """post AS (
-  SELECT l_orderkey * 64 + l_linenumber AS post_idx, l_orderkey AS pre_idx, min(l_partkey) % 97 AS z, min(l_suppkey) % 101 AS y, CAST(floor(min(l_quantity)) AS BIGINT) AS x, 0.5 + min(l_quantity) / 500 AS conf
-  FROM lineitem WHERE l_linenumber <> 7 GROUP BY 1, 2)""",
+  SELECT l_orderkey * 4096 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS post_idx, l_orderkey AS pre_idx, l_partkey % 97 AS z, l_suppkey % 101 AS y, CAST(floor(l_quantity) AS BIGINT) AS x, 0.5 + l_quantity / 500 AS conf
+  FROM lineitem)""",
     "op_log": "op_log AS (SELECT event_id // 5 AS task_id, event_type AS operator, value AS seconds, 'device' || CAST(user_id % 3 AS VARCHAR) AS compute_device FROM events)",
 }
-NEEDS = {"lab": ["vox"], "coarse": ["vox"], "tab": ["pairs"]}
+NEEDS = {"lab": ["vox"], "coarse": ["vox"], "tab": ["pairs"], "tab0": ["pairs", "tab"]}
 
 
 def with_views(names: str, body: str) -> str:
@@ -93,4 +95,4 @@ def with_views(names: str, body: str) -> str:
         for m in [*NEEDS.get(n, []), n]:
             if m not in order:
                 order.append(m)
-    return f"WITH {', '.join(SQL[n] for n in order)}\n{body}"
+    return f"WITH RECURSIVE {', '.join(SQL[n] for n in order)}\n{body}"
