@@ -233,6 +233,41 @@ def test_near_group_with_hub_and_strays(spark):
     assert got == list(enumerate(up))
 
 
+def test_near_group_of_many_strays(spark):
+    """3000 copies with edits, few of them linked: classes by brute force, and few pairs pass the bounds."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.04 else x for x in base) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in bagminhash.classes(df).collect()}
+    ids: dict[str, int] = {}
+    dense = np.zeros((3000, 146), bool)
+    own = [bag(t) for t in texts]
+    rare: dict[str, list[int]] = defaultdict(list)
+    for i, b in enumerate(own):
+        for x in b:
+            if "e" in x:
+                rare[x].append(i)
+            else:
+                dense[i, ids.setdefault(x, len(ids))] = True
+    common = dense.astype("i4") @ dense.T.astype("i4")
+    for v in rare.values():
+        for i in v:
+            for j in v:
+                common[i, j] += 1  # every shingle is at most once in a text
+    linked = common >= 0.8 * (2 * 146 - common)
+    up = np.arange(3000)
+    while True:
+        new = np.where(linked, up[None, :], 3000).min(axis=1)
+        if (new == up).all():
+            break
+        up = new
+    assert sum(linked[i].sum() > 1 for i in range(3000)) > 100
+    # bands find links near the threshold with high probability: none is made up, and few are missed
+    assert all(up[i] == up[got[i]] for i in range(3000))
+    assert sum(got[i] != up[i] for i in range(3000)) <= 0.02 * 3000
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     off = []

@@ -14,44 +14,51 @@ two bags (sum of smaller over sum of larger counts) is `threshold` or more.  Cla
 links.  Equal texts are one text from the start, whatever their number.
 
 Candidates are not all pairs of a bucket.  In a first round every text of a bucket is compared with the bucket's
-smallest; buckets whose texts are then connected are settled.  In further rounds up to `SLOTS` texts of an unsettled
-bucket are compared with those of its other classes and leave the bucket, until all of its texts are in one
-class.  So each pair that shares a band is either compared or connected already: no link between classes is lost.
-
-Texts of buckets that the first round leaves unsettled are weighed before more rounds: of their shingles, rare ones (in at most `RARE` such
-texts) make pairs that are compared at once; the overlap of any other pair is bounded by the weight of the remaining
-shingles.  Pairs that the bound rules out are not compared, and texts that it keeps from every partner leave their bucket.
+smallest; buckets whose texts are then connected are settled.  Texts of the others are weighed by the shingles that any other of them may
+have (a filter that counts to two finds those that surely are in one text only).  Two bounds follow: the overlap of a pair is at
+most the weight s of the lesser text's shared shingles; and if those are dealt by hash over cells, it is at
+most the sum over cells of the lesser weight.  In a second round each bucket's text with the largest s is compared
+with all others that the bounds allow, in a third `CENTRES` texts drawn by hash; then all pairs of a bucket that are of different classes
+still and that the bounds allow.  So each pair that shares a band is compared, connected already, or below the
+threshold by a bound: no link between classes is lost, and no number of texts or pairs is capped.
 
 Scale: band keys and ids are shuffled, never signatures; a hot bucket or a hot class is joined from
 written tables, whose large partitions Spark splits.  Texts are shuffled only for texts in shared buckets, which a
 Bloom filter of bounded size finds.  Components propagate the smallest label with pointer jumping; labels live in written tables.
+The number of driver's steps doesn't depend on the size of a bucket.  Copies with different edits are dense in one bucket and yet not
+linked; the bounds see that they lack different shingles, so few of their pairs are made.  In the last round the texts that are left of an
+unsettled bucket meet in blocks of some `BLOCK`, and a matrix product gives the bounds of a pair of blocks: it takes time by the square of what
+is left, over all tasks, but rows come out for close pairs only.
 
 Defined cases: null and empty texts, and texts without words, have no bag and are alone unless their texts are equal;
 texts of one to four words are one shingle; null doc_ids are smaller than none: a class is named by its smallest
-doc_id that is not null; repeated rows are copies like any other; an empty table gives no rows; extra columns are
-ignored by `classes` and kept by `dedup`.
+doc_id that is not null; repeated rows are copies like any other; an empty table gives no rows; very long texts are one batch
+each and take memory by their length; extra columns, whatever their names, are ignored by `classes` and kept by `dedup`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exact import holds
+from .exact import bits_for, hit_cells, holds, in_cells
 from .substring import BASES, mixed, portions, spans_hash, words_of
-from .util import LOWEST, text_of, written
+from .util import LOWEST, scratch, text_of, tidy, written
 
 U = np.uint64
 GOLD = 0x9E3779B97F4A7C15
-#: Centres that an unsettled bucket gets in a later round.
-SLOTS = 64
-#: A shingle of at most so many unsettled texts makes candidates of its own.
-RARE = 8
+#: Centres that an unsettled bucket gets in the third round.
+CENTRES = 4
+#: Cells over which the shared shingles of a text are dealt: the first number up to so many shingles, the second beyond.
+CELLS = (128, 1024)
+OWN = ("w", "s", "v")
+#: Texts of a bucket that are compared at a time in the last round (on average).
+BLOCK = 512
+PORTION = 1 << 20
 
 
 def bags(words: np.ndarray, edges: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +127,7 @@ def _signed(bands: int, rows: int, shingle: int):
     names = ["doc_id", "h1", "h2", "w", *[f"b{i}" for i in range(bands)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, 3):
+        for b in portions(batches, 3, PORTION):
             words, edges = words_of(b.column(3))
             bag = bags(words, edges, shingle)
             sig = signatures(*bag, len(b), bands * rows)
@@ -128,7 +135,7 @@ def _signed(bands: int, rows: int, shingle: int):
             none = ~np.isfinite(sig[:, 0])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.bincount(bag[0], bag[2], len(b)).astype("i8")), *[pa.array(keys[:, i], mask=none) for i in range(bands)]], names)
 
-    return run, ", ".join(f"{n} long" for n in names)
+    return tidy(run), ", ".join(f"{n} long" for n in names)
 
 
 def overlaps(a: pa.BinaryArray, b: pa.BinaryArray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,56 +160,75 @@ def _verified(threshold: float, shingle: int):
                 link = pa.array((union > 0) & (common >= threshold * union - 1e-9))
                 yield pa.RecordBatch.from_arrays([p.column(0).filter(link), p.column(1).filter(link)], ["a", "b"])
 
-    return run
+    return tidy(run)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of the ends of links (a, b), a written table: comp is the smallest id of the connected component."""
+def components(links: DataFrame, put: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(id, comp) of the ends of links (a, b), a table that `put` writes: comp is the smallest id of the connected component."""
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    both = written(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
+    both = put(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = put(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("comp")))
     while True:
         told = both.join(labels, both["u"] == labels["id"]).select(F.col("v").alias("id"), "comp", F.lit(None).cast("long").alias("own"))
         told = told.unionByName(labels.select("id", "comp", F.col("comp").alias("own"))).groupBy("id").agg(F.min("comp").alias("comp"), F.min("own").alias("own"))
         roots = labels.select(F.col("id").alias("r_id"), F.col("comp").alias("r_comp"))
-        new = told.join(roots, told["comp"] == roots["r_id"], "left").select("id", F.least("comp", "r_comp").alias("comp"), "own")
-        new = written(new)
+        new = put(told.join(roots, told["comp"] == roots["r_id"], "left").select("id", F.least("comp", "r_comp").alias("comp"), "own"))
         labels = new.select("id", "comp")
         if new.filter("comp <> own").isEmpty():
             return labels
 
 
-def _shingled(shingle: int):
+def merged(labels: DataFrame, links: DataFrame, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """labels (id, comp) with the classes that links (a, b), a written table, connect: only links between classes are looked at."""
+    ends = links
+    for end in ("a", "b"):
+        of = labels.select(F.col("id").alias("of_id"), F.col("comp").alias("of_comp"))
+        ends = ends.join(of, F.col(end) == F.col("of_id"), "left").withColumn(end, F.coalesce("of_comp", end)).select("a", "b")
+    ends = put(ends.filter("a <> b").distinct())
+    if ends.isEmpty():
+        return labels
+    new = components(ends, put)
+    told = new.select(F.col("id").alias("n_id"), F.col("comp").alias("n_comp"))
+    old = labels.join(told, F.col("comp") == F.col("n_id"), "left").select("id", F.coalesce("n_comp", "comp").alias("comp"))
+    return put(old.unionByName(new.join(labels.select(F.col("id").alias("l_id")), F.col("id") == F.col("l_id"), "left_anti")))
+
+
+def _weighed(shingle: int, shared, bits: int):
+    """(b_tid, w, s, v) of rows (tid, text): weights of the bag and of its shingles that are in the broadcast filter, and the latter's weights by cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, 1):
+        for b in portions(batches, 1, PORTION):
             d, h, c = bags(*words_of(b.column(1)), shingle)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(h.view("i8")), pa.array(c)], ["tid", "h", "c"])
+            weights = np.bincount(d, c, len(b)).astype("i8")
+            kept = in_cells(shared.value, mixed(h), bits)
+            d, h, c = d[kept], h[kept], c[kept]
+            cells = np.array(CELLS)[(weights > 8 * CELLS[0]).astype("i8")]
+            ends = np.concatenate([[0], np.cumsum(cells)])
+            v = np.bincount(ends[d] + (h % cells[d].astype(U)).astype("i8"), c, int(ends[-1])).astype("i4")
+            sums = [weights, np.bincount(d, c, len(b)).astype("i8")]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, sums), pa.ListArray.from_arrays(ends.astype("i4"), v)], ["b_tid", *OWN])
 
-    return run
+    return tidy(run)
 
 
-def _open(rest: DataFrame) -> DataFrame:
+def _open(rest: DataFrame, put) -> DataFrame:
     """The rows of rest (key, tid, comp, ...) whose bucket has texts of more than one class; rest must be a written table."""
-    keys = written(rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("o_key")))
-    return written(rest.join(keys, rest["key"] == keys["o_key"]).drop("o_key"))
+    keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(F.col("key").alias("o_key"))
+    return put(rest.join(keys, rest["key"] == keys["o_key"]).drop("o_key"))
 
 
-def _shares(members: DataFrame, texts: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Of the texts of members: pairs (tid, c_id) that have a rare shingle in common, and (b_tid, w, s): weights of the whole bag and of its other shingles.
+def _shares(members: DataFrame, texts: DataFrame, shingle: int, put) -> DataFrame:
+    """(b_tid, w, s, v) of the texts of members, see `_weighed`."""
+
+    def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for p in portions([b], 0, PORTION):
+            yield mixed(bags(*words_of(p.column(0)), shingle)[1])
 
-    A shingle is rare if at most RARE of these texts have it.  The overlap of a pair without a common rare shingle is
-    at most the smaller s of the two.
-    """
     ids = members.select(F.col("tid").alias("m_tid")).distinct()
-    own = written(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "text", "w"))
-    found = own.select("tid", "text").mapInArrow(_shingled(shingle), "tid long, h long, c long")
-    rare = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE).select(F.col("h").alias("r_h")))
-    held = written(found.join(rare, found["h"] == rare["r_h"]).select("h", "tid", "c"))
-    group = held.groupBy("h").agg(F.array_sort(F.collect_list("tid")).alias("t"))  # at most RARE
-    pairs = group.select(F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("tid"), y.alias("c_id")))))).alias("p"))
-    less = held.groupBy(F.col("tid").alias("u_tid")).agg(F.sum("c").alias("u"))
-    shares = own.select("tid", "w").join(less, own["tid"] == less["u_tid"], "left").select(F.col("tid").alias("b_tid"), "w", (F.col("w") - F.coalesce("u", F.lit(0))).alias("s"))
-    return written(pairs.select("p.*").distinct()), written(shares)
+    own = put(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "text", "w"))
+    bits = bits_for(own.agg(F.sum("w")).first()[0] or 0, 29)
+    shared = own.sparkSession.sparkContext.broadcast(hit_cells(own.select("text"), bits, 2, hashes))
+    return own.select("tid", "text").mapInArrow(_weighed(shingle, shared, bits), "b_tid long, " + ", ".join(f"{c} long" for c in OWN[:-1]) + ", v array<int>")
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -211,60 +237,112 @@ def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows["tid"] == labels["id"], "left").withColumn("comp", F.coalesce("comp", "tid")).drop("id")
 
 
-def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+def _near(threshold: float):
+    """Whether the bounds allow a link between columns (w, s, v) and (c_w, c_s, c_v)."""
+    least, w = F.least("s", "c_s"), F.col("w") + F.col("c_w")
+    enough = lambda common: common >= threshold * (w - common) - 1e-9
+    alike = F.aggregate(F.zip_with("v", "c_v", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    return enough(least) & ((F.size("v") != F.size("c_v")) | enough(alike))
+
+
+def sum_of_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum over columns of the lesser of a's and b's entries, for each row of a and each of b."""
+    most = int(min(a.max(initial=0), b.max(initial=0)))
+    if most > 64:
+        out = np.zeros((len(a), len(b)), "i8")
+        for x, y in zip(a.T, b.T):
+            out += np.minimum(x[:, None], y[None])
+        return out
+    out = np.zeros((len(a), len(b)), "f4")
+    for k in range(1, most + 1):  # both have k at least
+        x, y = a >= k, b >= k
+        use = x.any(axis=0) & y.any(axis=0)
+        out += x[:, use].astype("f4") @ y[:, use].astype("f4").T
+    return out
+
+
+def _compared(threshold: float):
+    """Pairs (tid, c_id) of different classes that the bounds allow, of rows (tid, comp, w, s, v of one block, the same of another, whether they are one)."""
+
+    def side(columns: list, i: int) -> tuple[np.ndarray, ...]:
+        *flat, v = (c[i].values for c in columns)
+        return *(x.to_numpy(zero_copy_only=False) for x in flat), np.asarray(v.offsets), v.values.to_numpy(zero_copy_only=False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                (t, comp, w, s, ends, v), (u, other, x, z, edges, y) = side(b.columns[:5], i), side(b.columns[5:10], i)
+                need = threshold / (1 + threshold) * (w[:, None] + x[None]) - 1e-9
+                can = (np.minimum(s[:, None], z[None]) >= need) & (comp[:, None] != other[None])
+                if b.column(10)[i].as_py():
+                    can &= t[:, None] < u[None]
+                for n in CELLS:
+                    rows = np.flatnonzero((np.diff(ends) == n) & can.any(axis=1))
+                    cols = np.flatnonzero((np.diff(edges) == n) & can.any(axis=0))
+                    if len(rows) and len(cols):
+                        at = np.ix_(rows, cols)
+                        can[at] &= sum_of_least(v[ends[rows][:, None] + np.arange(n)], y[edges[cols][:, None] + np.arange(n)]) >= need[at]
+                rows, cols = np.nonzero(can)
+                yield pa.RecordBatch.from_arrays([pa.array(t[rows]), pa.array(u[cols])], ["tid", "c_id"])
+
+    return tidy(run)
+
+
+def _blocks(members: DataFrame, threshold: float, put) -> DataFrame:
+    """Pairs (tid, c_id) of each bucket that are of different classes and that the bounds allow; the texts of a bucket meet in blocks."""
+    sizes = members.groupBy(F.col("key").alias("n_key")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+    dealt = members.join(sizes, F.col("key") == F.col("n_key")).withColumn("block", F.pmod(F.xxhash64("tid"), F.col("n")))
+    dealt = put(dealt.groupBy("key", "block").agg(F.collect_list(F.struct("tid", "comp", *OWN)).alias("m")))
+    other = dealt.select(F.col("key").alias("o_key"), F.col("block").alias("o_block"), F.col("m").alias("o"))
+    met = dealt.join(other, (F.col("key") == F.col("o_key")) & (F.col("block") <= F.col("o_block")))
+    met = met.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("m", "o") for c in ("tid", "comp", *OWN)], (F.col("block") == F.col("o_block")).alias("one"))
+    return met.mapInArrow(_compared(threshold), "tid long, c_id long")
+
+
+def _links(multi: DataFrame, texts: DataFrame, threshold: float, shingle: int, put) -> DataFrame:
     """(id, comp) of the texts that have links; multi: (key, tid) of shared buckets, texts: (tid, text, w)."""
     side = lambda n: texts.select(F.col("tid").alias(f"{n}_id"), F.col("text").alias(f"{n}_text"))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.select(F.least("tid", "c_id").alias("a"), F.greatest("tid", "c_id").alias("b")).distinct())
+        pairs = pairs.select(F.least("tid", "c_id").alias("a"), F.greatest("tid", "c_id").alias("b")).distinct()
         full = pairs.join(side("b"), F.col("b") == F.col("b_id")).join(side("a"), F.col("a") == F.col("a_id"))
-        return written(full.select("a", "b", "a_text", "b_text").mapInArrow(_verified(threshold, shingle), "a long, b long"))
+        return put(full.select("a", "b", "a_text", "b_text").mapInArrow(_verified(threshold, shingle), "a long, b long"))
 
     def left(members: DataFrame, centres: DataFrame) -> DataFrame:
         """What was compared with all others of its bucket leaves it."""
         used = centres.select(F.col("c_key").alias("u_key"), F.col("c_id").alias("u_id"))
         return members.join(used, (F.col("key") == F.col("u_key")) & (F.col("tid") == F.col("u_id")), "left_anti")
 
+    def chosen(best: DataFrame) -> DataFrame:
+        return put(best.select(F.col("key").alias("c_key"), *[F.col(f"c.{x}").alias(f"c_{y}") for x, y in (("tid", "id"), ("comp", "comp"), *zip(OWN, OWN))]))
+
+    def met(members: DataFrame, centres: DataFrame) -> DataFrame:
+        return members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp")) & _near(threshold)).select("tid", "c_id")
+
     # first round: the bucket's smallest text against all others
     members = multi.select("key", "tid", F.col("tid").alias("comp"))
-    centres = written(members.groupBy("key").agg(F.min("tid").alias("c_id")).select(F.col("key").alias("c_key"), "c_id"))
-    links = [linked(members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id"))))]
-    labels = components(links[0])
-    members = _open(written(_relabelled(left(members, centres), labels)))
+    centres = put(members.groupBy("key").agg(F.min("tid").alias("c_id")).select(F.col("key").alias("c_key"), "c_id"))
+    labels = components(linked(members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")))), put)
+    members = _open(put(_relabelled(left(members, centres), labels)), put)
     if members.isEmpty():
         return labels
-    # pairs with a common rare shingle, and each bucket's text with the largest s against all others
-    pairs, shares = _shares(members, texts, shingle)
-    members = written(members.join(shares, F.col("tid") == F.col("b_tid")).select("key", "tid", "comp", "w", "s"))
-    least = written(members.groupBy(F.col("key").alias("l_key")).agg(F.min("w").alias("low")))
+    # each bucket's text with the largest s against all others
+    shares = _shares(members, texts, shingle, put)
+    members = put(members.join(shares, F.col("tid") == F.col("b_tid")).select("key", "tid", "comp", *OWN))
+    least = members.groupBy(F.col("key").alias("l_key")).agg(F.min("w").alias("low"))
     other = F.when(F.col("low") >= F.col("s"), F.col("low")).otherwise(F.col("s"))
     can = F.col("s") >= threshold * (F.col("w") + other - F.col("s")) - 1e-9
-    members = written(members.join(least, F.col("key") == F.col("l_key")).filter(can).select("key", "tid", "comp", "w", "s"))
-    best = members.groupBy("key").agg(F.min(F.struct(-F.col("s"), "tid", "comp")).alias("c"))
-    centres = written(best.select(F.col("key").alias("c_key"), F.col("c.tid").alias("c_id"), F.col("c.comp").alias("c_comp")))
-    met = members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp"))).select("tid", "c_id")
-    ends = _relabelled(_relabelled(pairs, labels).withColumnsRenamed({"comp": "t_comp", "tid": "t_id"}).withColumn("tid", F.col("c_id")).withColumn("comp", F.lit(None)), labels)
-    links.append(linked(met.unionByName(ends.filter("comp <> t_comp").select(F.col("t_id").alias("tid"), "c_id"))))
-    labels = components(reduce(DataFrame.unionByName, links))
-    members = _open(written(_relabelled(left(members, centres), labels)))
-    turn = 0
-    while not members.isEmpty():
-        # first texts with a large s, which are near many others; then the texts of small classes, for when those have left, the bucket is settled
-        if turn:
-            sizes = written(members.groupBy(F.col("key").alias("s_key"), F.col("comp").alias("s_comp")).agg(F.count(F.lit(1)).alias("n")))
-            sized = members.join(sizes, (F.col("key") == F.col("s_key")) & (F.col("comp") == F.col("s_comp")))
-        else:
-            sized = members.withColumn("n", -F.col("s"))
-        best = sized.groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(SLOTS)).alias("slot")).agg(F.min(F.struct("n", "tid", "comp", "w", "s")).alias("c"))
-        turn += 1
-        centres = written(best.select(F.col("key").alias("c_key"), *[F.col(f"c.{x}").alias(f"c_{y}") for x, y in (("tid", "id"), ("comp", "comp"), ("w", "w"), ("s", "s"))]))
-        common = F.least("s", "c_s")
-        can = common >= threshold * (F.col("w") + F.col("c_w") - common) - 1e-9
-        links.append(linked(members.join(centres, (F.col("key") == F.col("c_key")) & (F.col("tid") != F.col("c_id")) & (F.col("comp") != F.col("c_comp")) & can)))
-        if not links[-1].isEmpty():
-            labels = components(reduce(DataFrame.unionByName, links))
-        members = _open(written(_relabelled(left(members, centres), labels)))
-    return labels
+    members = put(members.join(least, F.col("key") == F.col("l_key")).filter(can).select("key", "tid", "comp", *OWN))
+    centre = lambda first: F.min(F.struct(first.alias("first"), "tid", "comp", *OWN)).alias("c")
+    centres = chosen(members.groupBy("key").agg(centre(-F.col("s"))))
+    labels = merged(labels, linked(met(members, centres)), put)
+    members = _open(put(_relabelled(left(members, centres), labels)), put)
+    if members.isEmpty():
+        return labels
+    centres = chosen(members.groupBy("key", F.pmod(F.xxhash64("tid"), F.lit(CENTRES)).alias("slot")).agg(centre(F.xxhash64("tid", F.lit(1)))))
+    labels = merged(labels, linked(met(members, centres)), put)
+    members = _open(put(_relabelled(left(members, centres), labels)), put)
+    return labels if members.isEmpty() else merged(labels, linked(_blocks(members, threshold, put)), put)
 
 
 def _hashes(text_col: str) -> list:
@@ -273,27 +351,29 @@ def _hashes(text_col: str) -> list:
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (doc_id, h1, h2, ...) of each row, and of each text (h1, h2, low_id, n, class, class_id, class_size, first): first for the text that stays."""
+    """Written tables: (doc_id, h1, h2, ...) of each row, and of each text (h1, h2, low_id, n, class_id, class_size, class_texts, first): first for the text that stays."""
     run, schema = _signed(bands, rows, shingle)
     signed = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_hashes(text_col), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
-    signed = written(signed)
     names = [f"b{i}" for i in range(bands)]
-    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n"), F.min("w").alias("w"), *[F.min(b).alias(b) for b in names])
-    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()))
-    spread = texts.filter(F.col("b0").isNotNull()).select(F.explode(F.array(*names)).alias("key"), "tid")
-    shared = written(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("s_key")))
-    multi = written(spread.join(shared, spread["key"] == shared["s_key"]).select("key", "tid"))
-    ids = multi.select(F.col("tid").alias("m_tid")).distinct()
-    wanted = written(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "w", F.col("h1").alias("w1"), F.col("h2").alias("w2")))
-    some = docs.select(*_hashes(text_col), text_of(text_col).cast("binary").alias("text")).filter(holds(wanted.select("w1"), F.xxhash64(text_of(text_col))))
-    some = some.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    found = written(wanted.join(some, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("tid", "text", "w"))
-    labels = _links(multi, found, threshold, shingle)
-    own = texts.select("tid", "h1", "h2", "low_id", "n").join(labels, texts["tid"] == labels["id"], "left").withColumn("class", F.coalesce("comp", "tid"))
-    own = written(own.select("tid", "h1", "h2", "low_id", "n", "class"))
-    order = F.struct(F.col("low_id").isNull(), F.col("low_id"), F.col("tid"))
-    sums = written(own.groupBy(F.col("class").alias("g")).agg(F.min("low_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts"), F.min(order).getField("tid").alias("stays")))
-    return signed, written(own.join(sums, own["class"] == sums["g"]).select("h1", "h2", "low_id", "n", "class_id", "class_size", "class_texts", (F.col("tid") == F.col("stays")).alias("first")))
+    with scratch(docs.sparkSession) as put:
+        signed = put(signed)
+        texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("n"), F.min("w").alias("w"), *[F.min(b).alias(b) for b in names])
+        texts = put(texts.withColumn("tid", F.monotonically_increasing_id()))
+        spread = texts.filter(F.col("b0").isNotNull()).select(F.explode(F.array(*names)).alias("key"), "tid")
+        shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("s_key"))
+        multi = put(spread.join(shared, spread["key"] == shared["s_key"]).select("key", "tid"))
+        ids = multi.select(F.col("tid").alias("m_tid")).distinct()
+        wanted = put(texts.join(ids, texts["tid"] == ids["m_tid"]).select("tid", "w", F.col("h1").alias("w1"), F.col("h2").alias("w2")))
+        some = docs.filter(holds(wanted.select("w1"), F.xxhash64(text_of(text_col)))).select(*_hashes(text_col), text_of(text_col).cast("binary").alias("text"))
+        some = some.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+        found = put(wanted.join(some, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))).select("tid", "text", "w"))
+        labels = _links(multi, found, threshold, shingle, put)
+        own = texts.select("tid", "h1", "h2", "low_id", "n").join(labels, texts["tid"] == labels["id"], "left").withColumn("class", F.coalesce("comp", "tid"))
+        own = put(own.select("tid", "h1", "h2", "low_id", "n", "class"))
+        order = F.struct(F.col("low_id").isNull(), F.col("low_id"), F.col("tid"))
+        sums = put(own.groupBy(F.col("class").alias("g")).agg(F.min("low_id").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts"), F.min(order).getField("tid").alias("stays")))
+        out = own.join(sums, own["class"] == sums["g"]).select("h1", "h2", "low_id", "n", "class_id", "class_size", "class_texts", (F.col("tid") == F.col("stays")).alias("first"))
+        return written(signed.select("doc_id", "h1", "h2")), written(out)
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
@@ -305,14 +385,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
     """docs with one row of each class: the one with the smallest doc_id.  Rows of classes of one document stay where they are read."""
-    signed, texts = _classed(docs, id_col, text_col, threshold, shingle, bands, rows)
+    _, texts = _classed(docs, id_col, text_col, threshold, shingle, bands, rows)
     several = written(texts.filter("class_size > 1").select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "low_id", "first"))
     maybe = holds(several.select("t1"), F.xxhash64(text_of(text_col)))
-    h1, h2 = _hashes(text_col)
-    own = docs.filter(maybe).withColumns({"__h1": h1, "__h2": h2})
-    here = (F.col("__h1") == F.col("t1")) & (F.col("__h2") == F.col("t2"))
+    # a row's columns go as one, so their names can't clash with those in use here
+    own = docs.filter(maybe).select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("low"), *_hashes(text_col))
+    here = (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))
     alone = own.join(several, here, "left_anti")
-    stays = several.filter("first").select("t1", "t2", F.coalesce("low_id", F.lit(LOWEST)).alias("__low"))
-    kept = own.join(stays, here & (F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)) == F.col("__low"))).dropDuplicates(["__h1", "__h2"])
-    names = docs.columns
-    return docs.filter(~maybe).select(*names).unionByName(alone.select(*names)).unionByName(kept.select(*names))
+    stays = several.filter("first").select("t1", "t2", F.coalesce("low_id", F.lit(LOWEST)).alias("t_low"))
+    kept = own.join(stays, here & (F.col("low") == F.col("t_low"))).dropDuplicates(["h1", "h2"])
+    return docs.filter(~maybe).unionAll(alone.select("row.*")).unionAll(kept.select("row.*"))
