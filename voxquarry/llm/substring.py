@@ -13,25 +13,26 @@ settled.  There are these two levels only, so one doubling; repeats longer than
 
 Scale: a task sends a row for each different anchor of its own rows, so an anchor that a third of all documents share costs a row a
 task; whatever a task can settle alone goes along as a decision.  What meets is sorted by Spark (which
-spills) and read in a stream, so no group is held in memory.  Texts are shuffled by document only where windows have to be
+spills) and read in a stream of which a few rows are carried on, so no group is held in memory.  Texts are shuffled by document only where windows have to be
 cut and where words are removed.  Hashes of windows have 128 bits.
 
 Defined cases: null and empty texts have no words and give an empty kept text; a null doc_id is smaller than every number; rows
-that share a doc_id are told apart by a checksum of their text, so rows alike in both are one document and get the same result
-each; an empty table gives no rows; extra columns are ignored.
+that share a doc_id are told apart, and put in order, by a 64-bit hash of their text, so rows alike in both are one document and get the same result
+each; a very long text is one batch and takes memory by its length; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import LOWEST, text_of, written
+from .util import LOWEST, text_of, tidy, written
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
@@ -40,7 +41,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: kinds of rows: a sequence to compare, one that is known to have differing runs, a run to cut, a decision
 PROBE, VARIED, CUT, SPAN = range(4)
 PIECE = 1 << 20
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+PORTION = 2 << 20
 
 
 @lru_cache(None)
@@ -94,13 +96,17 @@ def words_of(texts: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts in one take about `size` bytes (one text may take more)."""
+    """Batches cut so that the texts in one take about `size` bytes (one text may take more), with 32-bit offsets."""
     for b in batches:
-        edges = np.frombuffer(b.column(column).buffers()[1], "<i4")[b.column(column).offset :][: len(b) + 1].astype("i8") if len(b) else np.zeros(1, "i8")
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype("i8"))])
+        large = [i for i, t in enumerate(b.schema.types) if pa.types.is_large_binary(t) or pa.types.is_large_string(t)]
         at = 0
         while at < len(b):
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + size, "right")) - 1)
-            yield b.slice(at, to - at)
+            out = b.slice(at, to - at)
+            for i in large:
+                out = out.set_column(i, b.schema.names[i], out.column(i).cast(pa.binary() if pa.types.is_large_binary(b.schema.types[i]) else pa.string()))
+            yield out
             at = to
 
 
@@ -132,168 +138,166 @@ def runs(words: np.ndarray, edges: np.ndarray, window: int) -> tuple[np.ndarray,
     return doc[low], low, high, g[p], mixed(whole ^ (p - low).astype(U) * U(BASES[0]))
 
 
-def packed(low: np.ndarray, tag: np.ndarray, more: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
-    """Word position, text tag (16 bits), windows after the first (12 bits) and kind (2 bits) in one number that rises with position."""
-    return low.astype("i8") << 30 | tag.astype("i8") << 14 | more.astype("i8") << 2 | kind
+def packed(low: np.ndarray, more: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
+    """Word position, windows after the first (12 bits) and kind (2 bits) in one number that rises with position."""
+    return low.astype("i8") << 14 | more.astype("i8") << 2 | kind
 
 
-def ordered(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.lexsort((at >> 30, at >> 14 & 0xFFFF, key, c, h))
+SENT = ("h", "c", "key", "tag", "at")
 
 
-def once(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The order, without rows alike in h, c, key and place: they come from repeated rows of one document, and repeat nothing."""
-    o = ordered(h, c, key, at)
-    own = np.ones(len(o), bool)
+def once(h: np.ndarray, c: np.ndarray, key: np.ndarray, tag: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of rows in order, those that aren't like the row before in h, c, document and place: such come from repeated rows of one document, and repeat nothing."""
+    own = np.ones(len(h), bool)
     own[1:] = False
-    for x in (h, c, key, at >> 14):
-        own[1:] |= np.diff(x[o]) != 0
-    return o[own]
+    for x in (h, c, key, tag, at >> 14):
+        own[1:] |= x[1:] != x[:-1]
+    return own
 
 
-def rows(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view("i8")) for x in (h, c, key, at)], ["h", "c", "key", "at"])
+def rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view("i8")) for x in columns], list(SENT))
 
 
-def settled_here(h, c, key, at, level: int) -> pa.RecordBatch:
-    """What a task sends of its rows (h, c, key, at): what it can settle becomes decisions, and one row is left of each h."""
-    o = once(h, c, key, at)
-    h, c, key, at = h[o], c[o], key[o], at[o]
-    new_h = np.ones(len(h), bool)
-    new_h[1:] = h[1:] != h[:-1]
-    new = new_h.copy()
-    new[1:] |= c[1:] != c[:-1]
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before in some column."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def settled_here(h, c, key, tag, at, level: int) -> pa.RecordBatch:
+    """What a task sends of its rows (h, c, key, tag, at): what it can settle becomes decisions, and one row is left of each h."""
+    o = np.lexsort((at, tag, key, c, h))
+    o = o[once(*(x[o] for x in (h, c, key, tag, at)))]
+    h, c, key, tag, at = (x[o] for x in (h, c, key, tag, at))
+    new_h, new = starts(h), starts(h, c)
     if level == 2:
-        return rows(*dealt(h, c, key, at & ~3 | np.where(new, PROBE, SPAN)))
+        return rows(*dealt(h, c, key, tag, at & ~3 | np.where(new, PROBE, SPAN)))
     group = np.cumsum(new_h) - 1
     several = (np.bincount(group, new) > 1)[group]
     kind = np.where(~new, SPAN, np.where(several, CUT, PROBE))
     more = new_h & several
-    # of each h with differing runs one more row tells other tasks
-    return rows(*dealt(*map(np.concatenate, ((h, h[more]), (c, c[more]), (key, key[more]), (at & ~3 | kind, at[more] & ~3 | VARIED)))))
+    # of each h with differing runs one more row tells other tasks; it has the least c, so it comes first
+    least = np.full(int(more.sum()), LOWEST, "i8").view(U)
+    told = ((h, h[more]), (c, least), (key, key[more]), (tag, tag[more]), (at & ~3 | kind, at[more] & ~3 | VARIED))
+    return rows(*dealt(*map(np.concatenate, told)))
 
 
-def dealt(h, c, key, at) -> tuple[np.ndarray, ...]:
+def dealt(h, c, key, tag, at) -> tuple[np.ndarray, ...]:
     """Rows of which the kind is settled need not meet others of their h: they are dealt evenly."""
     kind = at & 3
-    return np.where((kind == CUT) | (kind == SPAN), mixed(key.view(U) ^ mixed(at.view(U))), h), c, key, at
+    return np.where((kind == CUT) | (kind == SPAN), mixed(key.view(U) ^ mixed(at.view(U))), h), c, key, tag, at
 
 
 def judged(level: int):
-    """Of rows in order of h: (key, at) of decisions and, on level one, of runs to cut."""
-
-    def group(h, c, key, at) -> pa.RecordBatch:
-        o = ordered(h, c, key, at)
-        h, c, key, at = h[o], c[o], key[o], at[o]
-        kind = at & 3
-        passed = (kind == CUT) | (kind == SPAN)
-        out = [(key[passed], at[passed])]
-        h, c, key, at, kind = (x[~passed] for x in (h, c, key, at, kind))
-        new_h = np.ones(len(h), bool)
-        new_h[1:] = h[1:] != h[:-1]
-        g = np.cumsum(new_h) - 1
-        probe = np.flatnonzero(kind == PROBE)
-        varied = np.zeros(len(h), bool)
-        if len(h):
-            varied = (np.bincount(g, kind == VARIED) > 0)[g]
-        probe = probe[once(h[probe], c[probe], key[probe], at[probe])]
-        h, c, key, at, g, varied = h[probe], c[probe], key[probe], at[probe], g[probe], varied[probe]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        out.append((key[~new], at[~new] & ~3 | SPAN))
-        if level == 1 and len(h):
-            cut = new & (varied | (np.bincount(g, new)[g] > 1))
-            out.append((key[cut], at[cut] & ~3 | CUT))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "at"])
+    """Of rows in order of (h, c, key, tag, at): (key, tag, at) of decisions and, on level one, of runs to cut.
+
+    Of the last h, which may go on, three rows at most are carried on: its mark as varied, its first row and its last.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, told = None, np.zeros(0, bool)  # told: what is settled about a carried row already
         for b in batches:
-            x = [b.column(i).to_numpy() for i in range(4)]
-            held = x if held is None else [np.concatenate(p) for p in zip(held, x)]
-            to = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last h may go on
-            if to:
-                yield group(*(p[:to] for p in held))
-                held = [p[to:] for p in held]
-        if held is not None:
-            yield group(*held)
-
-    return run
+            x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            kind = x[4] & 3
+            passed = (kind == CUT) | (kind == SPAN)
+            out = [tuple(c[passed] for c in x[2:])]
+            x = [c[~passed] for c in x]
+            if held is not None:
+                x = [np.concatenate(p) for p in zip(held, x)]
+            done = np.concatenate([told, np.zeros(len(x[0]) - len(told), bool)])
+            h, c, key, tag, at = x
+            if len(h):
+                mark = (at & 3) == VARIED
+                new_h = starts(h)
+                g = np.cumsum(new_h) - 1
+                probe = np.flatnonzero(~mark)
+                probe = probe[once(*(v[probe] for v in x))]
+                new = np.zeros(len(h), bool)
+                new[probe] = starts(h[probe], c[probe])
+                spans = np.zeros(len(h), bool)
+                spans[probe] = ~new[probe]
+                spans &= ~done
+                out.append((key[spans], tag[spans], at[spans] & ~3 | SPAN))
+                cut = np.zeros(len(h), bool)
+                if level == 1:
+                    differ = (np.bincount(g, mark) > 0) | (np.bincount(g, new) > 1)
+                    cut = new & differ[g] & ~done
+                    out.append((key[cut], tag[cut], at[cut] & ~3 | CUT))
+                last = g == g[-1]
+                own = probe[last[probe]]
+                carried = [*np.flatnonzero(last & mark)[:1], *dict.fromkeys([*own[:1], *own[-1:]])]
+                held = [v[carried] for v in x]
+                told = np.array([bool(done[i] or cut[i] or spans[i] or i not in own[:1]) for i in carried], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["key", "tag", "at"])
+
+    return tidy(run)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), text.cast("binary").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.xxhash64(text).alias("tag"), text.cast("binary").alias("text"))
 
 
 def _by_document(found: DataFrame, name: str) -> DataFrame:
-    tag = F.shiftright("at", 14).bitwiseAND(F.lit(0xFFFF))
-    return found.select(F.col("key").alias("f_key"), tag.alias("f_tag"), "at").groupBy("f_key", "f_tag").agg(F.collect_list("at").alias(name)).hint("shuffle_hash")
+    return found.select(F.col("key").alias("f_key"), F.col("tag").alias("f_tag"), "at").groupBy("f_key", "f_tag").agg(F.collect_list("at").alias(name)).hint("shuffle_hash")
+
 
+def _level(level: int, found: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]):
+    """What tasks send of the rows (h, c, key, tag, at) that `found` makes of batches with texts in column 2."""
 
-def _first_level(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n = 0
-        for b in portions(batches, 2):
-            words, edges = words_of(b.column(2))
-            doc, low, high, h, c = runs(words, edges, window)
-            key, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
-            held.append((h, c, key[doc], packed(low - edges[doc], tag[doc], high - low, 0)))
-            n += len(doc)
+        for b in portions(batches, 2, PORTION):
+            held.append(found(b))
+            n += len(held[-1][0])
             if n > FLUSH:
-                yield settled_here(*map(np.concatenate, zip(*held)), 1)
+                yield settled_here(*map(np.concatenate, zip(*held)), level)
                 held, n = [], 0
         if held:
-            yield settled_here(*map(np.concatenate, zip(*held)), 1)
+            yield settled_here(*map(np.concatenate, zip(*held)), level)
 
-    return run
+    return tidy(run)
+
+
+def runs_of(window: int) -> Callable[[pa.RecordBatch], tuple[np.ndarray, ...]]:
+    def found(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        words, edges = words_of(b.column(2))
+        doc, low, high, h, c = runs(words, edges, window)
+        return h, c, b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], packed(low - edges[doc], high - low, 0)
+
+    return found
 
 
 def windows_at(b: pa.RecordBatch, lengths: int) -> tuple[np.ndarray, ...]:
-    """Hashes, key and position of the windows asked for in column 3; columns 0 to 2 are key, tag and text."""
+    """Hashes, key, tag and position of the windows asked for in column 3; columns 0 to 2 are key, tag and text."""
     words, edges = words_of(b.column(2))
     asked = b.column(3)
     ends = np.asarray(asked.offsets)
     at = asked.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
     doc = np.repeat(np.arange(len(b)), np.diff(ends))
     times = (at >> 2 & 0xFFF) + 1
-    start = np.repeat((at >> 30) + edges[doc], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    start = np.repeat((at >> 14) + edges[doc], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     doc = np.repeat(doc, times)
     fits = start + lengths <= edges[1:][doc]
     start, doc = start[fits], doc[fits]
     o = np.argsort(start, kind="stable")
     start, doc = start[o], doc[o]
     a, z = (spans_hash(words, start, start + lengths, BASES[i]) for i in (1, 2))
-    return a, z, b.column(0).to_numpy()[doc], packed(start - edges[doc], b.column(1).to_numpy()[doc], np.zeros(len(doc), "i8"), 0)
-
-
-def _second_level(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
-        for b in portions(batches, 2):
-            held.append(windows_at(b, window))
-            n += len(held[-1][0])
-            if n > FLUSH:
-                yield settled_here(*map(np.concatenate, zip(*held)), 2)
-                held, n = [], 0
-        if held:
-            yield settled_here(*map(np.concatenate, zip(*held)), 2)
-
-    return run
-
-
-SENT = "h long, c long, key long, at long"
+    return a, z, b.column(0).to_numpy()[doc], b.column(1).to_numpy()[doc], packed(start - edges[doc], np.zeros(len(doc), "i8"), 0)
 
 
 def _judge(sent: DataFrame, level: int) -> DataFrame:
-    return sent.repartition("h").sortWithinPartitions("h").mapInArrow(judged(level), "key long, at long")
+    return sent.repartition("h").sortWithinPartitions(*SENT).mapInArrow(judged(level), "key long, tag long, at long")
 
 
 def _removed(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches, 1):
+        for b in portions(batches, 1, PORTION):
             out = []
             for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 words = text.split()
@@ -302,15 +306,15 @@ def _removed(window: int):
                 if spans.is_valid:
                     at = spans.values.to_numpy(zero_copy_only=False)
                     change = np.zeros(n + 1, "i8")
-                    np.add.at(change, at >> 30, 1)
-                    np.add.at(change, np.minimum((at >> 30) + (at >> 2 & 0xFFF) + window, n), -1)
+                    np.add.at(change, at >> 14, 1)
+                    np.add.at(change, np.minimum((at >> 14) + (at >> 2 & 0xFFF) + window, n), -1)
                     stay = np.cumsum(change[:-1]) == 0
                     gone = n - int(stay.sum())
                     words = [words[i] for i in np.flatnonzero(stay)]
                 out.append((doc, n, gone, b" ".join(words)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return run
+    return tidy(run)
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,11 +322,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     if not 2 <= window <= 4000:
         raise ValueError("window must be from 2 to 4000")
     keyed = _keyed(docs, id_col, text_col)
-    found = written(_judge(keyed.select("key", "tag", "text").mapInArrow(_first_level(window), SENT), 1))
+    sent = ", ".join(f"{c} long" for c in SENT)
+    found = written(_judge(keyed.select("key", "tag", "text").mapInArrow(_level(1, runs_of(window)), sent), 1))
     kind = F.col("at").bitwiseAND(F.lit(3))
     cut = _by_document(found.filter(kind == CUT), "asked")
     here = (F.col("key") == F.col("f_key")) & (F.col("tag") == F.col("f_tag"))
-    asked = keyed.join(cut, here).select("key", "tag", "text", "asked").mapInArrow(_second_level(window), SENT)
+    asked = keyed.join(cut, here).select("key", "tag", "text", "asked").mapInArrow(_level(2, lambda b: windows_at(b, window)), sent)
     spans = found.filter(kind == SPAN).unionByName(_judge(asked, 2))
     out = keyed.join(_by_document(spans, "spans"), here, "left").select("doc_id", "text", "spans")
     out = out.mapInArrow(_removed(window), "doc_id long, n_words long, n_removed long, kept binary")
