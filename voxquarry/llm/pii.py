@@ -18,8 +18,10 @@ no walk out of the range is needed.  Punctuation and grouping stay where they ar
 Scale: rows are mapped where they are read; nothing is shuffled, no text leaves the JVM.  A pattern test turns away texts
 without candidates.  Patterns have bounded lengths and start at borders, so time is linear in a text's length.
 
-Defined cases: null texts stay null and have no spans; empty texts stay; repeated rows are treated each; an empty table gives no
-rows; extra columns are ignored by `digest` and kept by `pseudonymised`.  Values that fail validation stay as they are.
+The key is a literal of the plan, so plans and event logs are to be kept as safe as the key.
+
+Defined cases: null texts stay null and have no spans; empty texts stay; very long texts are treated whole; repeated rows are treated each; an empty table gives no
+rows; extra columns, whatever their names, are ignored by `digest` and kept by `pseudonymised`.  Values that fail validation stay as they are.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .secrets import once, running
 from .util import text_of
 
 ROUNDS = 8
@@ -71,14 +74,15 @@ def prf(key: str, label: Column, below: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), below)
 
 
-def feistel(value: Column, a: Column, b: Column, key: str, kind: str) -> Column:
-    """The pseudonym in [0, a * b) of a value in it (longs)."""
+def feistel(value: Column, a: Column, b: Column, key: str, kind: Column | str) -> Column:
+    """The pseudonym in [0, a * b) of a value in it (longs); each kind has a permutation of its own."""
 
     def one(s: Column, i: Column) -> Column:
         # the parts and their sizes change places, so each round changes what stands left
-        label = F.concat_ws(":", F.lit(kind), s["n"].cast("string"), s["m"].cast("string"), i.cast("string"), s["r"].cast("string"))
+        label = F.concat_ws(":", kind, s["n"].cast("string"), s["m"].cast("string"), i.cast("string"), s["r"].cast("string"))
         return F.struct(s["r"].alias("l"), F.pmod(s["l"] + prf(key, label, s["m"]), s["m"]).alias("r"), s["n"].alias("m"), s["m"].alias("n"))
 
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     a, b = a.cast("long"), b.cast("long")
     begin = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).alias("r"), a.alias("m"), b.alias("n"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, one, lambda s: s["l"] * s["n"] + s["r"])
@@ -102,7 +106,7 @@ def power10(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permuted_digits(d: Column, key: str, kind: str) -> Column:
+def permuted_digits(d: Column, key: str, kind: Column) -> Column:
     """Up to 18 digits (as a string) permuted; one digit is permuted as itself."""
     n = F.length(d)
     low = F.floor(n / 2).cast("int")
@@ -112,8 +116,9 @@ def permuted_digits(d: Column, key: str, kind: str) -> Column:
 
 def long_digits(d: Column, key: str, kind: str) -> Column:
     """Any number of digits: 18 at a time, the later ones under a label of those before."""
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 18).cast("int")), lambda i: F.substring(d, i * 18 + 1, F.lit(18)))
-    return F.array_join(F.transform(parts, lambda x, i: permuted_digits(x, key, kind)), "")
+    places = F.sequence(F.lit(0), F.floor((F.length(d) - 1) / 18).cast("int"))
+    label = lambda i: F.concat(F.lit(kind), F.when(i > 0, F.concat(F.lit("|"), F.substring(d, F.lit(1), i * 18))).otherwise(""))
+    return F.array_join(F.transform(places, lambda i: permuted_digits(F.substring(d, i * 18 + 1, F.lit(18)), key, label(i))), "")
 
 
 def luhn(d: Column) -> Column:
@@ -135,7 +140,7 @@ def mod97(text: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     d = digits(m)
     first, rest = F.substring(d, 1, 1), F.substring(d, F.lit(2), F.length(d) - 2)
-    body = F.concat(first, permuted_digits(rest, key, "card"))
+    body = F.concat(first, permuted_digits(rest, key, F.lit("card")))
     check = F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))
     return F.when((luhn(d) == 0) & F.length(d).between(13, 19), filled(m, F.concat(body, check.cast("string"))))
 
@@ -154,7 +159,7 @@ def _ssn(m: Column, key: str) -> Column:
     part = lambda at, n: F.substring(m, at, n).cast("long")
     area, group, serial = part(1, 3), part(5, 2), part(8, 4)
     index = (F.when(area > 666, area - 2).otherwise(area - 1) * GROUPS + group - 1) * SERIALS + serial - 1
-    new = feistel(index, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, "ssn")
+    new = feistel(index, F.lit(AREAS * GROUPS), F.lit(SERIALS), key, F.lit("ssn"))
 
     def written(v: Column) -> Column:
         high = F.floor(v / SERIALS).cast("long")
@@ -167,23 +172,18 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, once(new, written))
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _phone(m: Column, key: str) -> Column:
     d = digits(m)
     n = F.when(m.startswith("+"), F.length(F.regexp_extract(d, COUNTRY, 0))).otherwise(0)
     own = F.substring(d, n + 1, F.length(d))
-    new = F.concat(F.substring(d, F.lit(1), n), permuted_digits(own, key, "phone"))
+    new = F.concat(F.substring(d, F.lit(1), n), permuted_digits(own, key, F.lit("phone")))
     return F.when(F.length(d).between(8, 15) & (F.length(own) >= 5), filled(m, new))
 
 
 def _ip(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     value = F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    new = feistel(value, F.lit(65536), F.lit(65536), key, "ip")
+    new = feistel(value, F.lit(65536), F.lit(65536), key, F.lit("ip"))
     written = lambda v: F.concat_ws(".", *[F.pmod(F.floor(v / 256**i).cast("long"), F.lit(256)).cast("string") for i in (3, 2, 1, 0)])
     return F.when(F.forall(parts, lambda x: x <= 255), once(new, written))
 
@@ -193,7 +193,7 @@ def _date(m: Column, key: str, day_first: bool) -> Column:
 
     def shaped(form: str) -> Column:
         day = F.datediff(F.try_to_timestamp(m, F.lit(form)).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-        new = feistel(day, F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date")
+        new = feistel(day, F.lit(DAYS[0]), F.lit(DAYS[1]), key, F.lit("date"))
         return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), new.cast("int")), form))
 
     return F.when(m.contains("-"), shaped("yyyy-MM-dd")).when(m.contains("."), shaped("dd.MM.yyyy")).otherwise(shaped(slashed))
@@ -221,24 +221,24 @@ def _of(m: Column, key: str, day_first: bool) -> Column:
 
 
 def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", day_first: bool = False, spans_col: str = "pii_spans") -> DataFrame:
-    """docs with pseudonyms in the text, and spans_col: start, end (code points of the given text), kind, value and pseudonym of each."""
-    text = text_of(text_col)
+    """docs with pseudonyms in the text, and spans_col, in the place of a column of its name: start, end (code points of the given text), kind, value and pseudonym of each."""
+    text = text_of()
     parts, matches = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     pieces = F.zip_with(parts, matches, lambda p, m: F.struct(p.alias("before"), m.alias("match"), F.when(m.isNotNull(), _of(m, key, day_first)).alias("new")))
-
-    def place(s: Column, x: Column) -> Column:
-        start = (s["at"] + F.length(x["before"])).cast("long")
-        end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), x["new"]["kind"].alias("kind"), x["match"].alias("value"), x["new"]["pseudonym"].alias("pseudonym"))
-        return F.struct(end.alias("at"), F.when(x["new"]["pseudonym"].isNotNull(), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
-
-    empty = F.array().cast(SPANS)
     some = text.rlike(HINT) & text.rlike(ANY)
-    out = docs.withColumn("__pieces", F.when(some, pieces))
-    found = F.aggregate("__pieces", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), place, lambda s: s["spans"])
-    new = F.array_join(F.transform("__pieces", lambda x: F.concat(x["before"], F.coalesce(x["new"]["pseudonym"], x["match"], F.lit("")))), "")
-    out = out.withColumn(spans_col, F.coalesce(found, empty)).withColumn(text_col, F.when(F.col("__pieces").isNull(), F.col(text_col)).otherwise(new))
-    return out.drop("__pieces")
+    # a row's columns go as one, so their names can't clash with those in use here
+    out = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).withColumn("pieces", F.when(some, pieces))
+    ends = running(F.transform("pieces", lambda x: (F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long")))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["before"])
+        return F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["new"]["kind"].alias("kind"), x["match"].alias("value"), x["new"]["pseudonym"].alias("pseudonym"))
+
+    spans = F.coalesce(F.filter(F.zip_with("pieces", ends, span), lambda x: x["pseudonym"].isNotNull()), F.array().cast(SPANS))
+    new = F.array_join(F.transform("pieces", lambda x: F.concat(x["before"], F.coalesce(x["new"]["pseudonym"], x["match"], F.lit("")))), "")
+    new = F.when(F.col("pieces").isNull(), F.col("text")).otherwise(new)
+    kept = [c for c in docs.columns if c.lower() != spans_col.lower()]
+    return out.select(*[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in kept], spans.alias(spans_col))
 
 
 def digest(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text", day_first: bool = False) -> DataFrame:
