@@ -8,12 +8,12 @@ through a logistic function.
 
 Learning: the lexicon's weights are log odds of document frequencies over labelled rows, kept where a likelihood-ratio test is clear;
 the logistic function is fitted to scores from lexicons learnt on the other half of the rows.  Labelled rows are a
-bounded sample (`max_rows`, those with the smallest hashes of doc_id), so candidates and the model have a fixed upper size,
-whatever the corpus; the model is all that is broadcast.  Scoring maps rows where they are read and shuffles nothing.
+bounded sample (`max_rows`, those with the smallest hashes of doc_id), so candidates (all entries of three toxic rows of the sample
+or more) and the model are bounded by what the sample's texts hold, whatever the corpus; candidates and models are all that is broadcast.  Scoring maps rows where they are read and shuffles nothing.
 
 Defined cases: a null or empty text has no words and gets the score of a sum of zero; without labels of both classes every score is 0;
 labels that repeat a doc_id count once (the largest), null labels not at all; repeated documents are scored each;
-an empty table gives no rows; extra columns are ignored by `scores` and kept by `reject`.
+very long texts are scored whole; an empty table gives no rows; extra columns, whatever their names, are ignored by `scores` and kept by `reject`.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .util import text_of, tidy
 
 ALIKE = str.maketrans(
     dict(zip("аеорсухіјѕԁһӏкмтвнгɑοαρετνυκιβ", "aeopcyxijsdhlkmtbhraoapetvukib"))
@@ -43,7 +43,6 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6, 7)
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "scum line", "stupid fresh", "sore loser")
 CLEAR = 25.0
-LEXICON = 20_000
 
 
 def folded(text: str) -> list[str]:
@@ -120,28 +119,29 @@ def _counts(rows: DataFrame, wanted) -> DataFrame:
             e, f = zip(*counts)
             yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(f, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["entry", "fold", "n"])
 
-    return rows.mapInArrow(run, "entry string, fold int, n long").groupBy("entry", "fold").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidy(run), "entry string, fold int, n long").groupBy("entry", "fold").agg(F.sum("n").alias("n"))
 
 
 def _lexicon(pos: dict[str, float], neg: dict[str, float], p: float, q: float) -> dict[str, float]:
     """Entries whose share of toxic documents is clearly above their share of the others, with their log odds."""
-    found = []
-    for e, a in pos.items():
+    found = {}
+    for e, a in sorted(pos.items()):
         b = neg.get(e, 0)
         expected = (a + b) * p / (p + q)
         test = 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0))
         weight = math.log((a + 0.5) / (p + 1)) - math.log((b + 0.5) / (q + 1))
         if test >= CLEAR and weight >= 2:
-            found.append((test, e, weight))
-    return {e: w for _, e, w in sorted(found, reverse=True)[:LEXICON]}
+            found[e] = weight
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A model from at most max_rows labelled rows; rows to leave out of learning must be filtered from labels before."""
     spark = docs.sparkSession
-    sample = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).alias("y"))
-    sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = docs.join(F.broadcast(sample), F.col(id_col).cast("long") == F.col("__id")).select(text_of(text_col).alias("text"), F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(2)).cast("int").alias("fold"), "y")
+    sample = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("s_id")).agg(F.max(label_col).cast("int").alias("y"))
+    sample = sample.orderBy(F.xxhash64("s_id"), "s_id").limit(max_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("d_id"), text_of(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("d_id") == F.col("s_id")).select("text", F.pmod(F.crc32(F.col("s_id").cast("string").cast("binary")), F.lit(2)).cast("int").alias("fold"), "y")
     sizes = {(r.y, r.fold): r.n for r in rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = lambda y, f: sizes.get((y, f), 0)
     if not (size(1, 0) + size(1, 1) and size(0, 0) + size(0, 1)):
@@ -149,7 +149,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # entries of toxic rows first; only those are counted in the others
     least = 3
     toxic = _counts(rows.filter("y = 1").select("text", "fold"), None).groupBy("entry").pivot("fold", [0, 1]).agg(F.first("n")).na.fill(0).filter(F.col("0") + F.col("1") >= least)
-    toxic = toxic.orderBy(F.desc(F.col("0") + F.col("1")), "entry").limit(10 * LEXICON)
     pos = {r[0]: (r[1], r[2]) for r in toxic.collect()}
     wanted = spark.sparkContext.broadcast(frozenset(pos))
     neg: dict[str, list[int]] = {}
@@ -168,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             out = [weight_of(own[f], t) for t, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64()), b.column(2)], ["total", "words", "y"])
 
-    seen = rows.select("text", "fold", F.col("y").cast("int").alias("y")).mapInArrow(run, "total double, words long, y int").orderBy("total", "words", "y").toPandas()
+    seen = rows.select("text", "fold", F.col("y").cast("int").alias("y")).mapInArrow(tidy(run), "total double, words long, y int").toPandas().sort_values(["total", "words", "y"])
     return Model(learnt((0, 1)), exceptions, fitted(inputs(seen["total"].to_numpy(), seen["words"].to_numpy()), seen["y"].to_numpy(float)))
 
 
