@@ -2,16 +2,16 @@
 
 A document's tokens, with the separator at their end, are cut into pieces whose lengths are powers of two: as
 many of `size` as fit, then one for each set bit of the rest, longest first.  A piece is a sequence of its own,
-and sequences of one length make one bucket, so a training batch has one shape, no sequence crosses documents
-and nothing is padded.
+and sequences of one length make one bucket: their ids are one range, bucket by bucket, and `write` puts each bucket in a folder of its own, so a
+training batch has one shape, no sequence crosses documents and nothing is padded.
 
 The job only maps: rows are tokenised where they are read, and nothing is shuffled or gathered.  Sequence ids
-are numbered within each partition above the partition's own range, so they are unique in a run without any
+are numbered within each partition above the partition's own range (up to 2**26 partitions), and that above the bucket's, so they are unique in a run without any
 exchange; a partition that is computed again yields the same rows in the same order.
 
 Defined cases: a null text counts as empty; an empty text is the separator alone (one piece of length 1);
-repeated rows and repeated or null doc_ids are packed like any other row; an empty table gives no pieces; extra
-columns are ignored.
+repeated rows and repeated or null doc_ids are packed like any other row; a very long text is tokenised in one call and takes memory by its
+length; an empty table gives no pieces; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import text_of
+from .substring import portions
+from .util import text_of, tidy
 
 #: Words whose tokens a worker keeps; further words are encoded each time, so memory stays bounded.
-KEPT_WORDS = 300_000
-#: Text sizes above this are not looked up word by word.
+KEPT_WORDS = 100_000
+#: Bytes of texts that are taken from a batch at a time.
+PORTION = 2 << 20
 SPECIAL = "<|endoftext|>"
 #: A space inside a run of white space belongs to the run's token; such texts are encoded in one call.
 RUN = re.compile(r"\s (?!\S)")
@@ -79,18 +81,18 @@ def lengths(n: int, size: int) -> list[int]:
 
 
 def pack(docs: DataFrame, model: str, ranks: str, *, size: int = 1024, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row for each piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset and, with_ids, the ids themselves.
+    """One row for each piece: doc_id, start, length, doc_tokens, ids_crc32, bucket (length is 2**bucket), sequence_id, offset and, with_ids, the ids themselves.
 
-    size must be a power of two.  ids_crc32 is the checksum of the piece's ids as little-endian unsigned 32-bit numbers.
+    size must be a power of two up to 32768.  ids_crc32 is the checksum of the piece's ids as little-endian unsigned 32-bit numbers.
     """
-    if size < 1 or size & (size - 1):
-        raise ValueError("size must be a power of two")
+    if not 1 <= size <= 1 << 15 or size & (size - 1):
+        raise ValueError("size must be a power of two up to 32768")
     schema = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     end = np.array([separator], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, ranks)
-        for batch in batches:
+        for batch in portions(batches, 1, PORTION):
             rows: list[tuple] = []
             blobs: list[bytes] = []
             held = 0
@@ -104,7 +106,7 @@ def pack(docs: DataFrame, model: str, ranks: str, *, size: int = 1024, separator
                         blobs.append(blob)
                     at += n
                 held += len(ids)
-                if held > 8 << 20:
+                if held > 4 << 20:
                     yield to_batch(rows, blobs)
                     rows, blobs, held = [], [], 0
             if rows:
@@ -119,5 +121,11 @@ def pack(docs: DataFrame, model: str, ranks: str, *, size: int = 1024, separator
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names)
 
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(pieces, schema)
-    return cut.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tidy(pieces), schema)
+    cut = cut.withColumn("bucket", F.round(F.log2("length")).cast("int"))
+    return cut.withColumn("sequence_id", F.shiftleft(F.col("bucket").cast("long"), 59) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+
+
+def write(packed: DataFrame, path: str) -> None:
+    """packed as Parquet with a folder for each bucket, so that what reads a folder gets sequences of one length."""
+    packed.write.partitionBy("bucket").parquet(path)
