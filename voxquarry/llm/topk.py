@@ -2,7 +2,7 @@
 
 Vectors are quantised to integers (floor(256 x)), so scores are exact: blocks of vectors whose scores could leave 62 bits are
 multiplied as Python integers.  The dimensions are cut into a few lists; a
-vector's score is the sum of its entries in the lists.  Queries are taken in blocks of fixed size:
+vector's score is the sum of its entries in the lists.  Queries are taken in blocks of at most `block_bytes`:
 
 1. every task gathers, from each list, its k highest entries for each query and scores those vectors in full; the
    k-th best of them over all tasks is a safe cutoff t: the true k-th best cannot be lower;
@@ -10,15 +10,16 @@ vector's score is the sum of its entries in the lists.  Queries are taken in blo
    vectors with some entry of at least t / m are sufficient;
 3. the remaining entries of those vectors are added, and the best k of each task, at least t, are merged exactly.
 
-Scale: a block's queries and cutoffs are all that is broadcast (block x dimensions x 8 bytes, whatever the table's
-size), each task sends k rows a query at most, and k rows a query and task meet where the best are merged, after a
-map-side limit.  There is no join of vectors with vectors.
+Scale: a block's queries and cutoffs are all that is broadcast (`block_bytes`, whatever the table's
+size), each task keeps and sends the k best rows a query at most, and these meet where the best are merged, after a
+map-side limit.  There is no join of vectors with vectors.  The table is read twice for each block of queries; both phases
+multiply every vector with every query of the block, and the cutoff saves what is sent and sorted, not products.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no
 part, nor do null ids; a score among the k best that is no 64-bit integer raises an error; vectors of another length than the query's are no candidates for it; a query's candidates are the rows with
 other ids; rows that share an id are one candidate with the score of
 its best vector, and one query, for which the largest vector (in array order) stands;
-fewer candidates than k give fewer rows; ties go to the smaller id; an empty table gives no rows.
+fewer candidates than k give fewer rows; ties go to the smaller id; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .util import tidy
+
 #: quantised components from here on are wide: their vectors are multiplied apart, so that they don't slow others down
 LIMIT = 2**27
 #: sums of products below this are left to 64-bit integers, and are above LOW
@@ -99,11 +102,12 @@ def local_best(row: np.ndarray, col: np.ndarray, score: np.ndarray, ids: np.ndar
     return row[place < k], col[place < k], score[place < k]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 4, block: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", lists: int = 4, block_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best rows for each query row; is_query is a condition on the table's own columns."""
     spark = vectors.sparkSession
     wanted = quantised(vectors.filter(is_query), id_col, vec_col).groupBy("id").agg(F.max("q").alias("q"))
-    total = wanted.count()
+    total, longest = wanted.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    block = max(1, block_bytes // (8 * max(1, longest or 1)))
     wanted = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // block)))))
     rows = quantised(vectors, id_col, vec_col)
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("query_id", "vec_id", "score")])
@@ -130,14 +134,22 @@ def _phase(queries, cut, k: int, lists: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, groups = queries.value
+        # for each group of queries the best so far: query's place in it, vec_id and score
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             ids_all = batch.column(0).to_numpy()
             for at, c in _matrix(batch.column(1)):
-                for qat, q in groups:
+                for n, (qat, q) in enumerate(groups):
                     if q.shape[1] == c.shape[1]:
-                        yield from scored(ids_all[at], c, qids[qat], q)
-
-    def scored(ids: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+                        for found in scored(ids_all[at], c, qids[qat], q):
+                            if n in best:
+                                found = tuple(map(np.concatenate, zip(best[n], found)))
+                            row, col, score = local_best(np.arange(len(found[0])), found[0], found[2], found[1], k)
+                            best[n] = col, found[1][row], score
+        for n, (col, own, score) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(qids[groups[n][0]][col]), pa.array(own), sent(score)], ["query_id", "vec_id", "score"])
+
+    def scored(ids: np.ndarray, c: np.ndarray, qid: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         cuts = np.array_split(np.arange(c.shape[1]), min(lists, max(1, c.shape[1])))
         for f in range(0, len(qid), 512):
             part_id, part = qid[f : f + 512], q[f : f + 512]
@@ -162,6 +174,6 @@ def _phase(queries, cut, k: int, lists: int):
                     score = sum(e[row, col] for e in entries)
                     row, col, score = (x[score >= t[col]] for x in (row, col, score))
                 row, col, score = local_best(row, col, score, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(part_id[col]), pa.array(own[row]), sent(score)], ["query_id", "vec_id", "score"])
+                yield col + f, own[row], score
 
-    return run
+    return tidy(run)
