@@ -1,5 +1,6 @@
 """Long runs, clashing names and shared doc_ids."""
 
+import inspect
 import math
 import random
 import re
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from voxquarry.llm import secrets
+from voxquarry.llm import bagminhash, exact, packing, pii, queries, secrets, sentencepieces, sharding, substring, topk, toxicity
 
 ALLKINDS = secrets.ALPHABET
 
@@ -74,3 +75,88 @@ def test_secrets_with_clashing_names(spark):
     assert out.columns == df.columns
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["[SECRET] and [SECRET]", "a b c d e f g", "a b c d e f g"]
     assert len(secrets.digest(df).collect()) == len(secrets.scan(df).collect()) == 3
+
+
+def names_in(module):
+    """Every word that stands in quotes in a module's source, once whatever its case."""
+    found = re.findall(r"[\"'](\w+)[\"']", inspect.getsource(module))
+    return list({n.lower(): n for n in sorted(found) if n.lower() not in ("doc_id", "text", "source", "vec_id", "embedding", "toxic")}.values())
+
+
+def rows_of(df, by="doc_id"):
+    return sorted(df.collect(), key=str)
+
+
+FILES = queries.model("byte_bpe_50k.json"), queries.model("byte_bpe_50k.tiktoken")
+
+
+def model_of(spark):
+    return toxicity.Model({" silly ": 3.0}, (), (-4.0, 2.0, 1.0))
+
+
+#: operator, whether it keeps the input's columns, call
+CALLS = {
+    "substring": (substring, False, lambda s, d: substring.remove_repeats(d, window=4)),
+    "pii": (pii, True, lambda s, d: pii.pseudonymised(d, "k")),
+    "pii_digest": (pii, False, lambda s, d: pii.digest(d, "k")),
+    "near_classes": (bagminhash, False, lambda s, d: bagminhash.classes(d)),
+    "near_dedup": (bagminhash, True, lambda s, d: bagminhash.dedup(d)),
+    "exact_duplicates": (exact, False, lambda s, d: exact.duplicates(d).drop("keep_id", "kept")),
+    "exact_dedup": (exact, True, lambda s, d: exact.dedup(d)),
+    "sharding": (sharding, False, lambda s, d: sharding.shard(d, 2)),
+    "pieces": (sentencepieces, False, lambda s, d: sentencepieces.encode(d, queries.model("piece_bpe_32k.model"))),
+    "secrets": (secrets, True, lambda s, d: secrets.redact(d)),
+    "toxicity": (toxicity, True, lambda s, d: toxicity.reject(d, model_of(s))),
+    "toxicity_scores": (toxicity, False, lambda s, d: toxicity.scores(d, d.select("*", F.lit(1).alias("toxic")).limit(1))),
+    "packing": (packing, False, lambda s, d: packing.pack(d, *FILES).drop("sequence_id")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CALLS))
+def test_clashing_names(spark, name):
+    """The same rows with and without columns of every name that the module uses; what keeps rows keeps those columns."""
+    module, keeps, call = CALLS[name]
+    rows = [(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "silly silly silly", "t"), (4, "password = hunter22 on 2020-02-02", None), (None, None, "t")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1)
+    extra = [n for n in names_in(module) if not (name == "pii" and n == "pii_spans")]
+    df = plain.select("*", *[F.lit(f"x {n}").alias(n) for n in extra])
+    want, got = call(spark, plain), call(spark, df)
+    if keeps:
+        assert set(got.columns) == {*df.columns, *want.columns}
+        assert all(r[n] == f"x {n}" for r in got.collect() for n in extra)
+    assert rows_of(got.select(*want.columns)) == rows_of(want)
+
+
+def test_topk_with_clashing_names(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    wide = df.select("*", *[F.lit("x").alias(n) for n in names_in(topk)])
+    want, got = (rows_of(topk.search(d, F.col("vec_id") % 50 == 0, 3)) for d in (df, wide))
+    assert got == want and len(got) == 6
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_thousands_without_a_doc_id(spark, parts):
+    """3000 different texts with null doc_id: half of them share a passage of 25 words, of which one keeps it."""
+    rng = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = [" ".join([f"u{i}_{k}" for k in range(25)] + ([passage] if i % 2 else [f"v{i}_{k}" for k in range(25)])) for i in range(3000)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(parts)
+    rows = substring.remove_repeats(df).collect()
+    assert Counter(r.n_removed for r in rows) == {0: 1501, 25: 1499}
+    kept = Counter(r.kept_text for r in rows)
+    assert all(t in kept or t.removesuffix(f" {passage}") in kept for t in texts)
+
+
+def test_filter_counts_to_two(spark):
+    """Cells hit twice, over several tasks and lists, against plain counts."""
+    rng = random.Random(6)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(5000)]
+    values += values[::3]
+    df = spark.createDataFrame([(v,) for v in values], "h long").repartition(7)
+    import numpy as np
+
+    bits = 22
+    got = exact.hit_cells(df, bits, 2)
+    counts = Counter(int(c) for v in values for c in set(exact.cells(np.array([v]), bits)[:, 0].tolist()))
+    assert set(np.flatnonzero(np.unpackbits(got)).tolist()) == {c for c, n in counts.items() if n > 1}
