@@ -99,8 +99,8 @@ def hit_cells(rows: DataFrame, bits: int, least: int, hashes: Callable[[pa.Recor
     parts = rows.mapInArrow(tidy(local), "segment long, cells binary, twice binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(tidy(merged), "segment long, bits binary")
     out = np.zeros(1 << bits >> 3, "u1")
     width = 1 << low >> 3
-    for r in parts.toLocalIterator():  # 2**bits bits in all
-        out[r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], "u1")
+    for s, found in zip(*parts.toArrow().columns):  # 2**bits bits in all, at most 64 MB by default
+        out[s.as_py() * width : (s.as_py() + 1) * width] = np.frombuffer(found.as_py(), "u1")
     return out
 
 
