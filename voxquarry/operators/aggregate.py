@@ -40,16 +40,41 @@ def method_for(layer_type: str) -> str:
     return {"image": "average", "segmentation": "mode", "probability_map": "max", "affinity_map": "average"}.get(layer_type, "stride")
 
 
-def countless(df: DataFrame) -> DataFrame:
-    """2 x 2 cells in y and x of labels by pairs: of samples a, b, c, d in order (y, x), a if a = b or a = c, b if b = c, else d.
-
-    Missing samples count as 0.
-    """
+def _quads(df: DataFrame) -> DataFrame:
+    """z, y, x of 2 x 2 cells in y and x, and their samples a, b, c, d in order (y, x); missing samples count as 0."""
     at = F.pmod("y", F.lit(2)) * 2 + F.pmod("x", F.lit(2))
     own = [F.coalesce(F.max(F.when(at == i, F.col("value"))), F.lit(0)) for i in range(4)]
-    out = df.groupBy("z", floor_div("y", 2).alias("y"), floor_div("x", 2).alias("x")).agg(*[o.alias(n) for o, n in zip(own, "abcd")])
+    return df.groupBy("z", floor_div("y", 2).alias("y"), floor_div("x", 2).alias("x")).agg(*[o.alias(n) for o, n in zip(own, "abcd")])
+
+
+def countless(df: DataFrame) -> DataFrame:
+    """2 x 2 cells in y and x of labels by pairs: of samples a, b, c, d in order (y, x), a if a = b or a = c, b if b = c, else d."""
+    a, b, third, d = (F.col(n) for n in "abcd")
+    return _quads(df).select("z", "y", "x", F.when((a == b) | (a == third), a).when(b == third, b).otherwise(d).alias("value"))
+
+
+def stippled(df: DataFrame) -> DataFrame:
+    """As `countless`, but 0 is background: where it would give 0, the first label that isn't 0 of d, a, b, c, so lone voxels stay."""
     a, b, third, d = (F.col(n) for n in "abcd")
-    return out.select("z", "y", "x", F.when((a == b) | (a == third), a).when(b == third, b).otherwise(d).alias("value"))
+    pair = F.when((a == b) | (a == third), a).when(b == third, b)
+    value = F.coalesce(*[nonzero(v) for v in (pair, d, a, b, third)], F.lit(0))
+    return _quads(df).select("z", "y", "x", value.alias("value"))
+
+
+def countless_3d(df: DataFrame, levels: int = 1) -> DataFrame:
+    """2 x 2 x 2 cells of labels, `levels` times: a label of four samples or more, else one of three, else one of two
+    among the first seven (in order z, y, x), else the last sample.  Ties go to the label that comes first.
+
+    Sides should be even at each level; cells that lack voxels take the samples that they have, and the earliest where no rule holds.
+    """
+    for _ in range(levels):
+        at = F.pmod("z", F.lit(2)) * 4 + F.pmod("y", F.lit(2)) * 2 + F.pmod("x", F.lit(2))
+        counts = df.groupBy(*_cells((2, 2, 2)), "value").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at"), F.max(at).alias("last"))
+        pair = (F.col("n") - (F.col("last") == 7).cast("int")) >= 2
+        rank = F.when(F.col("n") >= 3, F.least("n", F.lit(4))).when(pair, 2).when(F.col("last") == 7, 1).otherwise(0)
+        best = F.max_by("value", F.struct(rank.alias("rank"), (-F.col("at")).alias("first")))
+        df = counts.groupBy(*AXES).agg(best.alias("value"))
+    return df
 
 
 def pyramid(df: DataFrame, factor: Triple, levels: int, method: str = "average") -> list[DataFrame]:

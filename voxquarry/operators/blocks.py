@@ -60,6 +60,22 @@ def stencil(df: DataFrame, block: Triple, halo: Triple, kernel: Callable[[np.nda
     return with_halo(df.select(*AXES, "value"), block, halo).groupBy(*BLOCK).applyInPandas(run, VOXELS)
 
 
+def dilated(df: DataFrame, block: Triple, margin: int) -> DataFrame:
+    """The largest value within `margin` steps along the axes of each voxel; the volume must be dense."""
+
+    def kernel(a: np.ndarray) -> np.ndarray:
+        for _ in range(margin):
+            grown = a.copy()
+            for axis in range(3):
+                here, there = np.moveaxis(grown, axis, 0), np.moveaxis(a, axis, 0)
+                np.fmax(here[1:], there[:-1], out=here[1:])
+                np.fmax(here[:-1], there[1:], out=here[:-1])
+            a = grown
+        return a
+
+    return stencil(df, block, (margin,) * 3, kernel)
+
+
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
     r = int(truncate * sigma + 0.5)
     w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import AXES, Triple
 from .aggregate import nonzero
+from .blocks import dilated
 
 
 def contingency(df: DataFrame, *, seg: str = "seg", gt: str = "gt", ignore_seg: list[int] = (), ignore_gt: list[int] = ()) -> DataFrame:
@@ -131,6 +134,28 @@ def boundary_precision_recall(df: DataFrame, predicted: Column, true: Column) ->
     return df.agg((tp / nonzero(tp + fp)).alias("precision"), (tp / nonzero(tp + fn)).alias("recall"))
 
 
+def wiggle_room_precision_recall(df: DataFrame, predicted: Column, true: Column, block: Triple, margin: int = 2) -> DataFrame:
+    """threshold, precision and recall for each value of predicted, a number, with drift of up to `margin` steps allowed.
+
+    A voxel at or above the threshold is right if a voxel where `true` holds is near; one where `true` holds is found if
+    a voxel at or above the threshold is near.  A value that no voxel has after dilation counts at its first voxel (in order z, y, x).
+    The volume must be dense.  Counts by value are summed before they meet in the window: one row for each value.
+    """
+    own = df.select(*AXES, predicted.alias("value"), true.cast("int").alias("t"))
+    wide = dilated(own, block, margin).withColumnRenamed("value", "wide")
+    near = dilated(own.select(*AXES, F.col("t").alias("value")), block, margin).withColumnRenamed("value", "near")
+    own = own.join(wide, list(AXES)).join(near, list(AXES))
+    first = own.groupBy("value").agg(F.min(F.struct(*AXES)).alias("at"))
+    lost = first.join(own.select(F.col("wide").alias("value")).distinct(), "value", "left_anti").select("at.*", F.col("value").alias("lost"))
+    own = own.join(lost, list(AXES), "left").withColumn("wide", F.coalesce("lost", "wide"))
+    by_value = own.groupBy(F.col("value").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.sum("near").alias("right"))
+    by_wide = own.groupBy(F.col("wide").alias("threshold")).agg(F.sum("t").alias("found"))
+    down = W.orderBy(F.desc("threshold"))
+    total = lambda c: F.sum(c).over(down)
+    out = by_value.join(by_wide, "threshold").crossJoin(by_wide.agg(F.sum("found").alias("all")))  # all is one row
+    return out.select("threshold", (total("right") / total("n")).alias("precision"), (total("found") / nonzero(F.col("all"))).alias("recall"))
+
+
 def assignment_table(table: DataFrame) -> DataFrame:
     """seg with the gt label that it overlaps most (ties to the smaller)."""
     return table.groupBy("seg").agg(F.max(F.struct("n", (-F.col("gt")).alias("g"))).alias("m")).select("seg", (-F.col("m.g")).alias("gt"), F.col("m.n").alias("n"))

@@ -206,6 +206,31 @@ def downsample_countless(spark, d):
     return A.countless(views.lab(spark, d))
 
 
+@query(
+    """SELECT z, y, x, coalesce(nullif(CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE 0 END, 0), nullif(d, 0), nullif(a, 0), nullif(b, 0), c) AS value FROM (
+  SELECT z, y // 2 AS y, x // 2 AS x, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN value END) AS a, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN value END) AS b,
+    max(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN value END) AS c, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN value END) AS d FROM lab GROUP BY z, y // 2, x // 2)""",
+    "lab",
+)
+def downsample_stippled(spark, d):
+    return A.stippled(views.lab(spark, d))
+
+
+def _countless_sql(source: str) -> str:
+    """Of the eight samples p: the first that at least four equal, else three, else two of the first seven, else the last."""
+    at = [f"max(value) FILTER (z % 2 = {i // 4} AND y % 2 = {i // 2 % 2} AND x % 2 = {i % 2})" for i in range(8)]
+    alike = "len(list_filter({among}, lambda w: w = v)) >= {n}"
+    picks = [f"list_filter(p, lambda v: {alike.format(among='p', n=n)})[1]" for n in (4, 3)] + [f"list_filter(p[1:7], lambda v: {alike.format(among='p[1:7]', n=2)})[1]"]
+    return f"SELECT z, y, x, coalesce({', '.join(picks)}, p[8]) AS value FROM (SELECT z // 2 AS z, y // 2 AS y, x // 2 AS x, [{', '.join(at)}] AS p FROM {source} GROUP BY z // 2, y // 2, x // 2)"
+
+
+@query(f", l1 AS ({_countless_sql('lab')}) SELECT 1::BIGINT AS mip, * FROM l1 UNION ALL SELECT 2::BIGINT, * FROM ({_countless_sql('l1')})", "lab")
+def downsample_countless_3d(spark, d):
+    one = A.countless_3d(views.lab(spark, d))
+    two = A.countless_3d(one)
+    return one.select(F.lit(1).cast("long").alias("mip"), *XYZ, "value").unionByName(two.select(F.lit(2).cast("long").alias("mip"), *XYZ, "value"))
+
+
 @query(
     """, l1 AS (SELECT z, y // 2 AS y, x // 2 AS x, avg(value) AS value FROM vox GROUP BY 1, 2, 3), l2 AS (SELECT z, y // 2 AS y, x // 2 AS x, avg(value) AS value FROM l1 GROUP BY 1, 2, 3)
 SELECT CAST(1 AS BIGINT) AS mip, z, y, x, round(value, 6) AS value FROM l1 UNION ALL SELECT 2, z, y, x, round(value, 6) FROM l2""",
@@ -362,6 +387,20 @@ def boundary_precision_recall(spark, d):
     return rounded(M.boundary_precision_recall(views.vox(spark, d), F.col("value") > 40, F.col("y") % 2 == 0), "precision", "recall", digits=9)
 
 
+@query(
+    """, ball AS (SELECT a.r AS dz, b.r AS dy, c.r AS dx FROM range(-2, 3) a(r), range(-2, 3) b(r), range(-2, 3) c(r) WHERE abs(a.r) + abs(b.r) + abs(c.r) <= 2),
+grown AS (SELECT z + dz AS z, y + dy AS y, x + dx AS x, max(value) AS wide, max((y % 8 = 0)::INT) AS near FROM vox, ball GROUP BY 1, 2, 3),
+met AS (SELECT z, y, x, value, wide, near, (y % 8 = 0)::INT AS t, row_number() OVER (PARTITION BY value ORDER BY z, y, x) AS k FROM vox JOIN grown USING (z, y, x)),
+own AS (SELECT value, near, t, CASE WHEN k = 1 AND value NOT IN (SELECT wide FROM met) THEN value ELSE wide END AS wide FROM met)
+SELECT threshold::BIGINT AS threshold, round((SELECT sum(near) FROM own WHERE value >= threshold) / (SELECT count(*) FROM own WHERE value >= threshold)::DOUBLE, 9) AS precision,
+  round((SELECT sum(t) FROM own WHERE wide >= threshold) / (SELECT sum(t) FROM own)::DOUBLE, 9) AS recall FROM (SELECT DISTINCT value AS threshold FROM own)""",
+    "vox",
+)
+def wiggle_room_precision_recall(spark, d):
+    out = M.wiggle_room_precision_recall(views.vox(spark, d), F.col("value"), F.col("y") % 8 == 0, (4, 16, 16))
+    return rounded(out, "precision", "recall", digits=9)
+
+
 @query("SELECT seg, gt, n FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY n DESC, gt) AS r FROM tab) WHERE r = 1", "tab")
 def assignment_table(spark, d):
     return M.assignment_table(tab(spark, d))
