@@ -364,6 +364,35 @@ def test_unigram_like_the_library(tmp_path):
     assert [np.frombuffer(c, "<u4").tolist() for c in codec.encode_all(texts)] == [library.encode(t) for t in texts]
 
 
+def test_best_scores_by_force(docs):
+    """The same pieces and scores as a unigram model: the sums of whole documents are the best ones."""
+    codec = sentencepieces.Codec(MODEL, sentencepieces.UNIGRAM)
+    texts = docs.collect()
+
+    longest = max(map(len, codec.ids))
+
+    def best(text):
+        """The best sum by brute force, piece by piece; a character without one stands alone and adds the scores of its bytes."""
+        score = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for at in range(max(0, end - longest), end):
+                if (i := codec.ids.get(text[at:end])) is not None:
+                    score[end] = max(score[end], score[at] + codec.scores[i])
+            if text[end - 1] not in codec.ids:
+                score[end] = max(score[end], score[end - 1] + sum(codec.scores[codec.of_byte[b]] for b in text[end - 1].encode()))
+        return score[-1]
+
+    got = {r.doc_id: r for r in sentencepieces.encode(docs, MODEL, scored=True).collect()}
+    sums: dict = {}
+    for r in texts:
+        text = (r.text or "").replace(" ", "▁")
+        parts = re.findall("▁+[^▁]*", "▁" + text) if text else []
+        sums |= {w: best(w) for w in parts if w not in sums}
+        assert got[r.doc_id].best_score == sum(sums[w] for w in parts)
+        ids = np.frombuffer(codec.encode_all([r.text or ""])[0], "<i4")
+        assert len(ids) == got[r.doc_id].best_n_ids and codec.decode(ids) == (r.text or "").replace("▁", " ")
+
+
 def test_pieces_odd(odd, empty):
     out = sentencepieces.encode(odd, MODEL)
     rows = out.collect()

@@ -43,8 +43,8 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepieces.encode(table(spark, sf_dir, "documents"), model("piece_bpe_32k.model"), with_ids=False)
-    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = sentencepieces.encode(table(spark, sf_dir, "documents"), model("piece_bpe_32k.model"), with_ids=False, scored=True)
+    return out.select("doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"), "best_n_ids", "best_ids_crc32", "best_score")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

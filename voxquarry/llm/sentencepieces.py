@@ -2,8 +2,8 @@
 
 One pass over a normalised text feeds the automaton; at each position its output links name every piece that ends
 there, and each of them relaxes the best segmentation of the prefix.  For unigram models this is Viterbi by the sum of scores.
-For BPE models the sum of scores isn't what defines the encoding (merges are), so there the same pass relaxes by
-merge order: of the pieces that end at a position, the one is taken that the merges would leave next to the last piece of
+For BPE models the sum of scores isn't what defines the library's encoding (merges are), so there the same pass relaxes by
+merge order, unless `encode` is asked for `scored` columns too, where the same pieces and scores are read as a unigram model.  By merge order: of the pieces that end at a position, the one is taken that the merges would leave next to the last piece of
 the prefix before it.  Which pairs stay apart depends on the two pieces alone and is kept.  Both give the ids of the model's own library
 (unigram: of segmentations with equal sums either may stand).
 
@@ -121,7 +121,8 @@ class Automaton:
 class Codec(dict):
     """Encodes and decodes with one model; as a dict it keeps the ids (little-endian unsigned 32-bit) of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: int | None = None):
+        """`kind` takes the place of the model's own (UNIGRAM: the best sum of the same pieces' scores)."""
         super().__init__()
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
@@ -130,7 +131,7 @@ class Codec(dict):
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         kinds = model.SentencePiece.Type
-        self.kind = model.trainer_spec.model_type
+        self.kind = model.trainer_spec.model_type if kind is None else kind
         if self.kind not in (UNIGRAM, BPE) or any(p.type == kinds.USER_DEFINED for p in model.pieces):
             raise ValueError("unigram and BPE models without user-defined symbols are supported")
         self.rules, self.library, self.path = model.normalizer_spec, None, path
@@ -399,15 +400,20 @@ def _characters(held: bytes) -> str:
         return "".join(out)
 
 
-@lru_cache(1)
-def codec_of(path: str) -> Codec:
-    """One codec a worker, with the words it has kept."""
-    return Codec(path)
+@lru_cache(2)
+def codec_of(path: str, kind: int | None = None) -> Codec:
+    """One codec a worker and kind, with the words it has kept."""
+    return Codec(path, kind)
 
 
-def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), decoded (the ids' text) and, with_ids, ids."""
+def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, scored: bool = False) -> DataFrame:
+    """doc_id, n_ids, ids_crc32 (of the ids as little-endian unsigned 32-bit numbers), decoded (the ids' text) and, with_ids, ids.
+
+    scored adds best_n_ids, best_ids_crc32 and best_score: the segmentation with the best sum of scores, and that sum over its pieces
+    (bytes and the unknown id add their own scores).  Empty texts have the sum 0.
+    """
     schema = "doc_id long, n_ids long, ids_crc32 long, decoded string" + (", ids array<int>" if with_ids else "")
+    schema += ", best_n_ids long, best_ids_crc32 long, best_score double" if scored else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
@@ -417,9 +423,17 @@ def encode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str
                 coded = codec.encode_all(part.column(1).to_pylist())
                 ids = [np.frombuffer(c, "<i4") for c in coded]
                 columns = [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array([codec.decode(i) for i in ids], pa.string())]
+                names = ["doc_id", "n_ids", "ids_crc32", "decoded"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids_crc32", "decoded", "ids"][: len(columns)])
+                    names.append("ids")
+                if scored:
+                    best = codec_of(model, UNIGRAM)
+                    coded = best.encode_all(part.column(1).to_pylist())
+                    sums = [float(best.score_of[np.frombuffer(c, "<i4")].sum()) for c in coded]
+                    columns += [pa.array([len(c) // 4 for c in coded], pa.int64()), pa.array([zlib.crc32(c) for c in coded], pa.int64()), pa.array(sums, pa.float64())]
+                    names += ["best_n_ids", "best_ids_crc32", "best_score"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
