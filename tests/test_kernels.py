@@ -1,5 +1,9 @@
 """Kernels, patches, files and the queue against brute force and round trips."""
 
+import gzip
+import json
+import struct
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,9 +16,10 @@ from voxquarry.operators import aggregate as A
 from voxquarry.operators import blocks as B
 from voxquarry.operators import metrics as M
 from voxquarry.operators import patches as P
+from voxquarry.operators import points as Q
 from voxquarry.operators import tasks as T
 from voxquarry.operators import voxels as V
-from voxquarry.sources import files
+from voxquarry.sources import arrays, files
 from voxquarry.streaming import queue
 
 
@@ -222,6 +227,64 @@ def test_npy_png_swc_json(spark, tmp_path):
         files.load(spark, str(tmp_path / "a.h5"))
 
 
+@pytest.mark.parametrize("codec", ["raw", "gzip", "zlib", "zstd"])
+def test_zarr_round_trip(spark, tmp_path, codec):
+    a = np.random.default_rng(7).integers(0, 999, (5, 6, 7))
+    a[2:4, 3:6, 4:7] = 7  # a chunk of fill values alone is not written
+    path = str(tmp_path / "a.zarr")
+    df = frame(spark, a).filter("value <> 7")
+    assert arrays.save_zarr(df, path, a.shape, (2, 3, 4), dtype="<u2", codec=codec, fill=7) == int((a != 7).sum())
+    assert not (tmp_path / "a.zarr" / "1.1.1").exists() and (tmp_path / "a.zarr" / "0.0.0").exists()
+    assert np.array_equal(array(files.load(spark, path), a.shape), a)
+    arrays.save_zarr(df, path, a.shape, (2, 3, 4), dtype="<u2", codec=codec, fill=7)  # again: the same
+    (tmp_path / "a.zarr" / "2.1.1").write_bytes(b"broken")  # not opened by a box beside it
+    got = files.load(spark, path, offset=(10, 0, 0), start=(11, 2, 0), stop=(14, 5, 4))
+    assert got.count() == 3 * 3 * 4 and all(r.value == a[int(r.z) - 10, int(r.y), int(r.x)] for r in got.collect())
+    with pytest.raises(ValueError):
+        arrays.save_zarr(df, path, a.shape, (2, 3, 4), codec="none")
+
+
+def test_n5_and_mrc(spark, tmp_path):
+    a = np.random.default_rng(8).integers(0, 999, (3, 4, 5)).astype(">u2")
+    root = tmp_path / "a.n5"
+    root.mkdir()
+    (root / "attributes.json").write_text('{"dimensions": [5, 4, 3], "blockSize": [3, 2, 2], "dataType": "uint16", "compression": {"type": "gzip"}}')
+    for z in range(2):
+        for y in range(2):
+            for x in range(2):
+                part = a[2 * z : 2 * z + 2, 2 * y : 2 * y + 2, 3 * x : 3 * x + 3]
+                name = root / str(x) / str(y) / str(z)
+                name.parent.mkdir(parents=True, exist_ok=True)
+                name.write_bytes(struct.pack(">HH3I", 0, 3, *part.shape[::-1]) + gzip.compress(part.tobytes()))
+    assert np.array_equal(array(files.load(spark, str(root)), a.shape), a)
+    for end, stamp in (("<", b"DD"), (">", bytes([17, 17]))):
+        b = a.astype(f"{end}f4")
+        head = bytearray(1024)
+        head[:16], head[92:96], head[212:214] = struct.pack(f"{end}4i", 5, 4, 3, 2), struct.pack(f"{end}i", 8), stamp
+        (tmp_path / "a.mrc").write_bytes(bytes(head) + b"extended" + b.tobytes())
+        assert np.array_equal(array(files.load(spark, str(tmp_path / "a.mrc")), a.shape), a)
+    with pytest.raises(ValueError):
+        arrays.decode_mrc(struct.pack("<4i", 1, 1, 1, 4) + bytes(1020))
+
+
+def test_dvid_lists(spark):
+    rows = [
+        {"Kind": "PreSyn", "Pos": [3, 2, 1], "Prop": {"conf": "0.5", "user": "a"}},
+        {"Kind": "PostSyn", "Pos": [6, 5, 4], "Prop": {"user": "b"}, "Rels": [{"To": [9, 8, 7]}]},
+        {"Kind": "PostSyn", "Pos": [6, 5, 5], "Prop": {"user": "b"}, "Rels": []},
+        {"Kind": "PostSyn", "Pos": [6, 5, 6], "Prop": {"user": "b"}, "Rels": [{"To": [0, 0, 0]}]},
+        {"Kind": "PreSyn", "Pos": [9, 8, 7], "Prop": {"user": "a"}},
+    ]
+    pre, post = Q.from_dvid(spark.createDataFrame([(json.dumps(rows),)], "json string"))
+    assert sorted(tuple(r) for r in pre.select("pre_idx", "z", "y", "x", "conf", "user").collect()) == [(0, 1, 2, 3, 0.5, "a"), (1, 7, 8, 9, 1.0, "a")]
+    assert [tuple(r) for r in post.select("pre_idx", "z", "y", "x", "user").collect()] == [(1, 4, 5, 6, "b")]
+    more = Q.add_pre(pre, spark.createDataFrame([(0, 1, 1, 1)], "pre_idx long, z long, y long, x long"), 0.25)
+    assert more.filter("conf = 0.25").first().pre_idx == 2
+    assert Q.same((pre, post), (pre.drop("conf"), post)) and not Q.same((pre, post), (more, post)) and not Q.same((pre, post), (pre, post.withColumn("z", F.col("z") + 1)))
+    with pytest.raises(ValueError):
+        Q.add_pre(pre, pre, 1.5)
+
+
 def test_block_payloads(spark):
     a = np.random.default_rng(6).random((3, 4, 5))
     assert np.array_equal(array(B.to_voxels(B.to_blocks(frame(spark, a), (2, 2, 2))), a.shape), a)

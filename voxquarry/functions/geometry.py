@@ -116,6 +116,16 @@ def decompose(df: DataFrame, size: Triple, *, mode: str) -> DataFrame:
     return df
 
 
+def left_neighbors(df: DataFrame) -> DataFrame:
+    """One row for each axis and box: axis and the box of the same size that ends along it where the box starts."""
+    out = df.withColumn("axis", F.explode(F.array(*map(F.lit, AXES))))
+    moved = {}
+    for a, s, e in zip(AXES, START, STOP):
+        here = F.col("axis") == a
+        moved |= {s: F.when(here, 2 * F.col(s) - F.col(e)).otherwise(F.col(s)), e: F.when(here, F.col(s)).otherwise(F.col(e))}
+    return out.withColumns(moved)
+
+
 def grid_boxes(spark: SparkSession, start: Triple, stop: Triple, size: Triple, *, overlap: Triple = (0, 0, 0), align: Triple | None = None, bounded: bool = False, respect_stop: bool = False) -> DataFrame:
     """Tasks that cover a region: task_id (z-major), the six columns and bbox.
 

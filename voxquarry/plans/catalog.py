@@ -443,6 +443,14 @@ def adjust_bbox(spark, d):
     return G.adjust(boxes(spark, d), (-1, -2, -3), (4, 5, 6))
 
 
+@query(
+    f"""WITH {_BOXES} SELECT task_id, 'z' AS axis, z0 - 5 AS z0, y0, x0, z0 AS z1, y1, x1 FROM b
+UNION ALL SELECT task_id, 'y', z0, y0 - 9, x0, z1, y0, x1 FROM b UNION ALL SELECT task_id, 'x', z0, y0, x0 - 4, z1, y1, x0 FROM b"""
+)
+def left_neighbors(spark, d):
+    return G.left_neighbors(boxes(spark, d)).select("task_id", "axis", *BOXES)
+
+
 @query(f"WITH {_BOXES} SELECT task_id, least(z0, 0) AS z0, least(y0, 0) AS y0, least(x0, 0) AS x0, greatest(z1, 10) AS z1, greatest(y1, 10) AS y1, greatest(x1, 10) AS x1 FROM b")
 def bbox_union(spark, d):
     df = boxes(spark, d).withColumnsRenamed({n: f"a{n}" for n in BOXES}).withColumns({f"b{n}": F.lit(v).cast("long") for n, v in zip(BOXES, (0, 0, 0, 10, 10, 10))})
@@ -553,6 +561,13 @@ def remove_synapses_outside_box(spark, d):
     return Q.cascade(Q.inside_box(views.pre(spark, d), (10, 5, 0), (60, 80, 70)), views.post(spark, d)).select("post_idx", "pre_idx")
 
 
+@query("SELECT pre_idx, z, y, x, NULL::DOUBLE AS conf FROM pre UNION ALL SELECT p_partkey + 1 + (SELECT max(pre_idx) FROM pre), p_partkey % 7, p_partkey % 11, p_size, 0.5::DOUBLE FROM part", "pre")
+def add_pre(spark, d):
+    """A point for each part beside the pres of the orders."""
+    more = table(spark, d, "part").select(F.col("p_partkey").alias("pre_idx"), (F.col("p_partkey") % 7).alias("z"), (F.col("p_partkey") % 11).alias("y"), F.col("p_size").cast("long").alias("x"))
+    return Q.add_pre(views.pre(spark, d).drop("user"), more, 0.5)
+
+
 @query("SELECT pre_idx FROM pre WHERE pre_idx NOT IN (SELECT pre_idx FROM post)", "pre post")
 def pre_without_post(spark, d):
     return Q.without_post(views.pre(spark, d), views.post(spark, d)).select("pre_idx")

@@ -1,7 +1,7 @@
 """Readers and writers of volumes and relations: Parquet layout by blocks, NumPy arrays, JSON, SWC, images.
 
-Files are read with Spark's own `binaryFile` source and decoded on the executors, and written by Spark; nothing opens a path on its
-own, so any store that Spark reads will do.
+Files are read with Spark's own `binaryFile` source and decoded on the executors, and written by Spark; nothing here opens a path on its
+own, so any store that Spark reads will do.  Chunked folders are in `arrays`, which opens single chunks.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, Triple, floor_div, inside
+from .arrays import decode_mrc, load_n5, load_zarr
 
 VOXELS = "z long, y long, x long, value double"
 
@@ -235,11 +236,11 @@ def png_sections(df: DataFrame) -> DataFrame:
 
 # formats that need a library of their own
 
-NEEDS = {"h5": "h5py", "tif": "tifffile", "nrrd": "nrrd", "zarr": "zarr", "mrc": "mrcfile", "n5": "zarr"}
+NEEDS = {"h5": "h5py", "tif": "tifffile", "nrrd": "nrrd"}
 
 
 def load_with_library(spark: SparkSession, path: str, kind: str, *, offset: Triple = (0, 0, 0), dataset: str = "main") -> DataFrame:
-    """HDF5, TIFF, NRRD or MRC files, where the format's library is installed; ImportError names it otherwise."""
+    """HDF5, TIFF or NRRD files, where the format's library is installed; ImportError names it otherwise."""
     import importlib
 
     importlib.import_module(NEEDS[kind])
@@ -252,16 +253,19 @@ def load_with_library(spark: SparkSession, path: str, kind: str, *, offset: Trip
                 a = h[dataset][()]
         elif kind == "tif":
             a = lib.imread(f)
-        elif kind == "nrrd":
-            a = lib.read_data(f, lib.read_header(f)).T
         else:
-            raise ValueError(f"{kind} volumes are folders: convert them to Parquet first")
+            a = lib.read_data(f, lib.read_header(f)).T
         return array_frame(a, offset)
 
     return _decoded(_binary(spark, path), decode, VOXELS)
 
 
-LOADERS: dict[str, Callable[..., DataFrame]] = {"npy": load_npy, "png": load_png, "json": load_json, "swc": load_swc} | {k: (lambda s, p, k=k, **o: load_with_library(s, p, k, **o)) for k in NEEDS}
+def load_mrc(spark: SparkSession, path: str, *, offset: Triple = (0, 0, 0)) -> DataFrame:
+    """Voxels of MRC files."""
+    return _decoded(_binary(spark, path), lambda _, c: array_frame(decode_mrc(c), offset), VOXELS)
+
+
+LOADERS: dict[str, Callable[..., DataFrame]] = {"npy": load_npy, "png": load_png, "json": load_json, "swc": load_swc, "zarr": load_zarr, "n5": load_n5, "mrc": load_mrc} | {k: (lambda s, p, k=k, **o: load_with_library(s, p, k, **o)) for k in NEEDS}
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
