@@ -145,6 +145,33 @@ def test_edit_distance_counts_both_ways(spark):
     assert (r.false_merges, r.false_splits) == (1, 1)
 
 
+def test_wiggle_room_keeps_each_value(spark):
+    """1 is lost by dilation and put back at the only voxel that had 5."""
+    df = frame(spark, [[[1, 5, 9]]])
+    out = M.wiggle_room_precision_recall(df, F.col("value"), F.col("x") == 0, (2, 2, 2), 1)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, pytest.approx(2 / 3), 1), (5, 0.5, 0), (9, 0, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wiggle_room_like_brute_force(spark, seed):
+    shape, margin = (4, 7, 6), 2
+    a = np.random.default_rng(seed).integers(0, 120, shape)
+    at = list(np.ndindex(shape))
+    true = {p: p[1] % 4 == 0 for p in at}
+    ball = {p: [q for q in at if sum(abs(i - j) for i, j in zip(p, q)) <= margin] for p in at}
+    near = {p: any(true[q] for q in ball[p]) for p in at}
+    wide = {p: max(a[q] for q in ball[p]) for p in at}
+    for v in set(a.flat) - set(wide.values()):
+        wide[next(p for p in at if a[p] == v)] = v
+    assert set(wide.values()) < set(a.flat)  # some values are overwritten
+    want = []
+    for v in sorted(set(a.flat)):
+        called = [p for p in at if a[p] >= v]
+        want.append((v, sum(near[p] for p in called) / len(called), sum(true[p] for p in at if wide[p] >= v) / sum(true.values())))
+    out = M.wiggle_room_precision_recall(frame(spark, a), F.col("value"), F.col("y") % 4 == 0, (2, 3, 4), margin)
+    assert np.allclose(sorted(tuple(r) for r in out.collect()), want)
+
+
 def test_unknown_values_keep_constant_sections(spark):
     a = np.full((2, 3, 3), 7)
     a[1] = 0

@@ -152,7 +152,8 @@ def wiggle_room_precision_recall(df: DataFrame, predicted: Column, true: Column,
     by_wide = own.groupBy(F.col("wide").alias("threshold")).agg(F.sum("t").alias("found"))
     down = W.orderBy(F.desc("threshold"))
     total = lambda c: F.sum(c).over(down)
-    out = by_value.join(by_wide, "threshold").crossJoin(by_wide.agg(F.sum("found").alias("all")))  # all is one row
+    counts = by_value.join(by_wide, "threshold", "left").fillna(0, "found")  # putting lost values back may overwrite the last voxel of another
+    out = counts.crossJoin(by_wide.agg(F.sum("found").alias("all")))  # all is one row
     return out.select("threshold", (total("right") / total("n")).alias("precision"), (total("found") / nonzero(F.col("all"))).alias("recall"))
 
 
