@@ -219,6 +219,24 @@ def test_plans(spark):
     assert "NestedLoop" not in V.mask(a, a, (2, 2, 2))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_close_pairs_meet_as_lists(spark):
+    """1200 points on few places: the join gives lists, and all pairs come of them, also of cells dealt over parts and of cut lists."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), *(int(v) for v in rng.integers(-3, 3, 3))) for i in rng.permutation(400)] + [(int(i), 1, 1, 1) for i in range(400, 1200)]
+    rows += [(7, 1, 1, 1), (7, 1, 1, 2), (7, 1, 1, 2), (None, 1, 1, 1), (8, None, 1, 1)]  # ids that come again pair with others, not with each other
+    pts = spark.createDataFrame(rows, "post_idx long, z long, y long, x long")
+    known = np.array([r for r in rows if None not in r])
+    ids, at = known[:, 0], known[:, 1:]
+    square = ((at[:, None] - at[None]) ** 2).sum(2)
+    a, b = np.nonzero((square <= 4) & (ids[:, None] < ids[None]))
+    want = sorted(zip(ids[a].tolist(), ids[b].tolist(), np.sqrt(square[a, b]).tolist()))
+    assert Q.close_lists(pts, 2).count() < 216 * 33
+    for df in (Q.close_pairs(pts, 2), Q.pairs_of(Q.close_lists(pts, 2, most=50), piece=7)):
+        got = df.toPandas().to_numpy()
+        assert sorted((int(i), int(j), d) for i, j, d in got) == want
+    assert Q.close_lists(pts, 2, most=50).select(F.max(F.size("left"))).first()[0] < 150  # no list of a whole crowded place
+
+
 def test_volume_on_disk(spark, tmp_path):
     a = np.random.default_rng(2).integers(0, 9, (4, 6, 6))
     path = str(tmp_path / "v")
