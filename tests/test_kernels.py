@@ -237,6 +237,28 @@ def test_close_pairs_meet_as_lists(spark):
     assert Q.close_lists(pts, 2, most=50).select(F.max(F.size("left"))).first()[0] < 150  # no list of a whole crowded place
 
 
+def test_duplicate_posts_make_no_pairs(spark):
+    """Against brute force, with ids that come twice and pres without a place; 2000 posts at one place give few joined rows."""
+    rng = np.random.default_rng(6)
+    pre = [(i, *(int(v) for v in rng.integers(0, 4, 3))) for i in range(30)] + [(30, None, 1, 1), (3, 9, 9, 9)]
+    post = [(int(i), int(rng.integers(0, 31)), *(int(v) for v in rng.integers(0, 5, 3))) for i in rng.integers(0, 60, 80)]
+    labels = [(z, y, x, int(rng.integers(0, 3))) for z in range(5) for y in range(5) for x in range(5)]
+    frames = spark.createDataFrame(pre, "pre_idx long, z long, y long, x long"), spark.createDataFrame(post, "post_idx long, pre_idx long, z long, y long, x long"), spark.createDataFrame(labels, "z long, y long, x long, value long")
+    value = {r[:3]: r[3] for r in labels}
+    o = [(i, at, None if p[1] is None else float(sum((a - b) ** 2 for a, b in zip(at, p[1:])) ** 0.5), value[tuple(at)]) for i, own, *at in post for p in pre if p[0] == own and value[tuple(at)]]
+    for radius in (1, 2):
+        want = set()
+        for a in o:
+            for b in o:
+                if a[0] < b[0] and a[3] == b[3] and sum((i - j) ** 2 for i, j in zip(a[1], b[1])) <= radius**2:
+                    want.add(a[0] if a[2] is not None and b[2] is not None and a[2] > b[2] else b[0])
+        got = [r[0] for r in Q.duplicate_posts_on_object(*frames, radius).collect()]
+        assert sorted(got) == sorted(want) and want
+    crowd = spark.range(2000).select(F.col("id").alias("post_idx"), (F.col("id") % 30).alias("pre_idx"), *[F.lit(i).cast("long").alias(a) for i, a in enumerate("zyx")])
+    df = Q.duplicate_posts_on_object(frames[0], crowd, spark.createDataFrame([(0, 1, 2, 1)], "z long, y long, x long, value long"), 1)
+    assert "close" not in Q.duplicate_posts_on_object.__code__.co_names and df.count() == 1999
+
+
 def test_volume_on_disk(spark, tmp_path):
     a = np.random.default_rng(2).integers(0, 9, (4, 6, 6))
     path = str(tmp_path / "v")
