@@ -256,7 +256,8 @@ def test_duplicate_posts_make_no_pairs(spark):
         assert sorted(got) == sorted(want) and want
     crowd = spark.range(2000).select(F.col("id").alias("post_idx"), (F.col("id") % 30).alias("pre_idx"), *[F.lit(i).cast("long").alias(a) for i, a in enumerate("zyx")])
     df = Q.duplicate_posts_on_object(frames[0], crowd, spark.createDataFrame([(0, 1, 2, 1)], "z long, y long, x long, value long"), 1)
-    assert "close" not in Q.duplicate_posts_on_object.__code__.co_names and df.count() == 1999
+    assert "close_pairs" not in Q.duplicate_posts_on_object.__code__.co_names and df.count() == 1999
+    assert Q._front(crowd.select("z", F.col("post_idx").alias("id"), (F.col("post_idx") % 7).cast("double").alias("d")), ["z"]).count() <= 4
 
 
 def test_volume_on_disk(spark, tmp_path):
